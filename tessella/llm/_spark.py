@@ -41,7 +41,7 @@ def table(df: DataFrame) -> DataFrame:
 def partitions(df: DataFrame, mb: int = 16) -> int:
     """A number of blocks that follows the input's size: about `mb` of stored input a block, the session's shuffle partitions at least."""
     spark = df.sparkSession
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     least = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
     return max(least, min(size // (mb << 20), 1 << 20))
 
@@ -73,3 +73,26 @@ def undeltas(b: bytes, kind: type) -> np.ndarray:
 
 def rows(schema: pa.Schema, **columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) for f in schema], schema=schema)
+
+
+def release() -> None:
+    """Lets Spark delete the shuffle files of results that nothing refers to any more."""
+    import gc
+
+    from pyspark import SparkContext
+
+    gc.collect()
+    if SparkContext._active_spark_context is not None:
+        SparkContext._active_spark_context._jvm.System.gc()
+
+
+def bucket_of(h: np.ndarray, n: int) -> np.ndarray:
+    """The bucket of a hash, by its upper 32 bits: buckets are ranges of hashes."""
+    return (((h >> np.uint64(32)) * np.uint64(n)) >> np.uint64(32)).astype(np.int32)
+
+
+def bounds(sorted_hashes: np.ndarray, n: int) -> list[tuple[int, int, int]]:
+    """(bucket, from, to) of every bucket that has some of the sorted hashes."""
+    b = bucket_of(sorted_hashes, n)
+    at = np.flatnonzero(np.append(True, b[1:] != b[:-1])) if len(b) else np.zeros(0, np.int64)
+    return list(zip(b[at].tolist(), at.tolist(), [*at[1:].tolist(), len(b)], strict=True))

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from tessella.llm import quality
+from tessella.llm import ngram_join, quality
 
 QUERIES = {
+    "op1_ngram_jaccard_join": ngram_join.op1_ngram_jaccard_join,
     "op3_quality_rules": quality.op3_quality_rules,
 }
 ORACLE_SQL: dict[str, str] = {}
