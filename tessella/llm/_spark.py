@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 
 import numpy as np
@@ -71,8 +72,41 @@ def undeltas(b: bytes, kind: type) -> np.ndarray:
     return np.cumsum(unplanes(b, kind), dtype=kind)
 
 
-def rows(schema: pa.Schema, **columns) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) for f in schema], schema=schema)
+try:
+    _TRIM = ctypes.CDLL(None).malloc_trim
+except (OSError, AttributeError):  # another C library
+    _TRIM = None
+
+
+def trim() -> None:
+    """Gives memory that a worker has freed back to the machine."""
+    pa.default_memory_pool().release_unused()
+    if _TRIM is not None:
+        _TRIM(0)
+
+
+def frugal(run):
+    """A function of a group that gives its memory back."""
+
+    def wrapped(table: pa.Table) -> pa.Table:
+        try:
+            return run(table)
+        finally:
+            trim()
+
+    return wrapped
+
+
+def frugal_pair(run):
+    """As frugal(), for a function of two groups."""
+
+    def wrapped(left: pa.Table, right: pa.Table) -> pa.Table:
+        try:
+            return run(left, right)
+        finally:
+            trim()
+
+    return wrapped
 
 
 def release() -> None:
@@ -93,6 +127,8 @@ def bucket_of(h: np.ndarray, n: int) -> np.ndarray:
 
 def bounds(sorted_hashes: np.ndarray, n: int) -> list[tuple[int, int, int]]:
     """(bucket, from, to) of every bucket that has some of the sorted hashes."""
+    if not len(sorted_hashes):
+        return []
     b = bucket_of(sorted_hashes, n)
-    at = np.flatnonzero(np.append(True, b[1:] != b[:-1])) if len(b) else np.zeros(0, np.int64)
+    at = np.flatnonzero(np.append(True, b[1:] != b[:-1]))
     return list(zip(b[at].tolist(), at.tolist(), [*at[1:].tolist(), len(b)], strict=True))

@@ -134,11 +134,10 @@ def repeated(keys: np.ndarray) -> np.ndarray:
 
 def covered(n: int, start: np.ndarray, width: int | np.ndarray) -> np.ndarray:
     """Of n places, whether one of the intervals [start, start + width) holds it."""
-    d = np.zeros(n + 1, np.int64)
-    np.add.at(d, start, 1) if len(start) < n // 8 else d.__iadd__(np.bincount(start, minlength=n + 1)[: n + 1])
-    end = start + width
-    d -= np.bincount(end, minlength=n + 1)[: n + 1] if len(end) else 0
-    return np.cumsum(d[:n]) > 0
+    if not len(start):
+        return np.zeros(n, bool)
+    change = np.bincount(start, minlength=n + 1) - np.bincount(start + width, minlength=n + 1)
+    return np.cumsum(change[:n]) > 0
 
 
 def sums(values: np.ndarray, first: np.ndarray) -> np.ndarray:

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from tessella.llm import ngram_join, quality
+from tessella.llm import ngram_join, quality, substring
 
 QUERIES = {
     "op1_ngram_jaccard_join": ngram_join.op1_ngram_jaccard_join,
     "op3_quality_rules": quality.op3_quality_rules,
+    "op8_substring_dedup": substring.op8_substring_dedup,
 }
 ORACLE_SQL: dict[str, str] = {}
