@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from tessella.llm import ngram_join, quality, substring
+from tessella.llm import ngram_join, quality, substring, suffix_dedup
 
 QUERIES = {
     "op1_ngram_jaccard_join": ngram_join.op1_ngram_jaccard_join,
     "op3_quality_rules": quality.op3_quality_rules,
+    "op7_suffix_array_dedup": suffix_dedup.op7_suffix_array_dedup,
     "op8_substring_dedup": substring.op8_substring_dedup,
 }
 ORACLE_SQL: dict[str, str] = {}
