@@ -44,7 +44,7 @@ def partitions(df: DataFrame, mb: int = 16) -> int:
     spark = df.sparkSession
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     least = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
-    return max(least, min(size // (mb << 20), 1 << 20))
+    return least if size >= 1 << 55 else max(least, min(size // (mb << 20), 1 << 20))  # an unknown size is given as a huge one
 
 
 def block(column, n: int):

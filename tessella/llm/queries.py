@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from tessella.llm import ngram_join, quality, substring, suffix_dedup
+from tessella.llm import mixing, ngram_join, quality, substring, suffix_dedup
 
 QUERIES = {
     "op1_ngram_jaccard_join": ngram_join.op1_ngram_jaccard_join,
+    "op2_mixing_sources": mixing.op2_mixing_sources,
     "op3_quality_rules": quality.op3_quality_rules,
     "op7_suffix_array_dedup": suffix_dedup.op7_suffix_array_dedup,
     "op8_substring_dedup": substring.op8_substring_dedup,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op2_mixing_sources": mixing.OP2_SQL,
+}
