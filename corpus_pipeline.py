@@ -3,13 +3,52 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-STAGES: list = []
+from tessella.llm import _spark, mixing, ngram_join, pieces, quality, substring
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the repetition rules reject go."""
+    return quality.keep(docs)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of documents that word 5-grams link at a Jaccard similarity of 0.8 or more, the one with the smallest doc_id stays."""
+    groups = ngram_join.groups(docs, k=5, percent=80)
+    first = groups.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("kept_id"))
+    return docs.join(first, docs["doc_id"].eqNullSafe(first["kept_id"]), "left_semi")
+
+
+def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Words that lie in a run of 13 words or more which a document with a smaller doc_id has too go."""
+    return substring.dedup(docs)
+
+
+def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document occurs as often as its source's rate draws, in random order."""
+    return mixing.mix(docs).select(*docs.columns)
+
+
+def token_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, lang, source and the pieces of each text."""
+    return pieces.encode(docs).select("doc_id", "lang", "source", "ids")
+
+
+STAGES = [
+    ("quality rules", quality_rules),
+    ("n-gram Jaccard join", near_duplicates),
+    ("substring dedup", repeated_passages),
+    ("mixing sources to target weights", mixed_sources),
+    ("SentencePiece encoding and decoding", token_sequences),
+]
+#: No SQL: the third and the last stage can't be put in it. tests/llm/test_pipeline.py has the same steps by brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of the last stage; what each stage before it returns is written to the shared folder and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for _, stage in STAGES[:-1]:
+        docs = _spark.table(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)
