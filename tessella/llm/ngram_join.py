@@ -36,7 +36,7 @@ SMALL = 24
 #: Classes of a block in the second round.
 BLOCK = 2048
 #: Tokens that a task gathers before it sends them.
-FLUSH = 4_000_000
+FLUSH = 2_000_000
 WORDS = 8  # 64-bit words of the bitmap of a set
 SHIFT = np.uint64(8)
 
@@ -132,8 +132,11 @@ def _tokens(k: int, buckets: int):
                 if size_held >= FLUSH:
                     yield from flush()
                     held, size_held = [], 0
+                    S.trim()
         if size_held:
             yield from flush()
+            held = []
+            S.trim()
 
     return run
 
@@ -351,54 +354,62 @@ def _first_pairs(percent: int):
 
 
 def _verified(percent: int):
-    """Pairs that reach the threshold: prefixes under the second and third order must meet, then the overlap is counted."""
+    """Pairs that reach the threshold."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = []
-            for n, s, p, t in zip(*[batch.column(c).to_pylist() for c in ("n", "tokens", "n2", "tokens2")], strict=True):
-                x, y = np.frombuffer(s, np.uint64), np.frombuffer(t, np.uint64)
-                i, j = len(x) - (percent * n + 99) // 100 + 1, len(y) - (percent * p + 99) // 100 + 1
-                fine = i > 0 and j > 0 and _meet(x[:i], y[:j]) and _meet(x[-i:], y[-j:])
-                keep.append(fine and (100 + percent) * _meet(x, y) >= percent * (n + p))
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            sides = zip(*[batch.column(c).to_pylist() for c in ("n", "tokens", "n2", "tokens2")], strict=True)
+            yield batch.select(["a", "b"]).filter(pa.array([_reaches(*x, percent) for x in sides], pa.bool_()))
 
     return run
 
 
+def _reaches(n: int, s: bytes, p: int, t: bytes, percent: int) -> bool:
+    """Whether two sets reach the threshold: their prefixes under the second and third order must meet, then the overlap is counted."""
+    x, y = np.frombuffer(s, np.uint64), np.frombuffer(t, np.uint64)
+    i, j = len(x) - (percent * n + 99) // 100 + 1, len(y) - (percent * p + 99) // 100 + 1
+    if i <= 0 or j <= 0 or not _meet(x[:i], y[:j]) or not _meet(x[-i:], y[-j:]):
+        return False
+    return (100 + percent) * _meet(x, y) >= percent * (n + p)
+
+
 def _meet(x: np.ndarray, y: np.ndarray) -> int:
     z = np.sort(np.concatenate([x, y]), kind="stable")
     return int((z[1:] == z[:-1]).sum())
 
 
-def _cross_pairs(percent: int):
-    """Pairs of different components within a block of a long list, or between two blocks of it."""
+def _cross_links(percent: int):
+    """Links between different components within a block of a long list, or between two blocks of it; as many as it takes to join them."""
 
     def run(table: pa.Table) -> pa.Table:
-        g = np.array(table.column("own").to_pylist(), np.int64)
-        sig, n, m, root = (np.array(table.column(c).to_pylist(), np.int64) for c in ("class", "n", "m", "root"))
+        own, sig, n, m, root = (np.asarray(table.column(c), np.int64) for c in ("own", "class", "n", "m", "root"))
         bits = np.frombuffer(b"".join(table.column("bits").to_pylist()), np.uint64).reshape(-1, BITS // 8)
+        tokens = table.column("tokens").to_pylist()
+        lo_block, hi_block = table.column("lo")[0].as_py(), table.column("hi")[0].as_py()
+        parent = np.unique(root, return_inverse=True)[1].tolist()
+        at_root = np.array(parent)
+        parent = list(range(len(parent)))
+
+        def find(x: int) -> int:
+            while parent[x] != x:
+                parent[x] = parent[parent[x]]
+                x = parent[x]
+            return x
+
         order = np.argsort(n, kind="stable")
-        gi, gj = table.column("lo")[0].as_py(), table.column("hi")[0].as_py()
-        left, right = order[g[order] == gi], order[g[order] == gj]
-        out = []
-        sizes = n[right]
-        if (root == root[0]).all():
-            left = left[:0]
+        left, right = order[own[order] == lo_block], order[own[order] == hi_block]
+        sizes, out = n[right], []
         for i in left.tolist():
-            if gi == gj:
-                lo = int(np.searchsorted(sizes, n[i], "left"))
-            else:
-                lo = int(np.searchsorted(sizes, -(-percent * n[i] // 100), "left"))
-            hi = int(np.searchsorted(sizes, 100 * n[i] // percent, "right"))
-            j = right[lo:hi]
-            j = j[(root[j] != root[i])]
+            least = n[i] if lo_block == hi_block else -(-percent * n[i] // 100)
+            j = right[int(np.searchsorted(sizes, least, "left")) : int(np.searchsorted(sizes, 100 * n[i] // percent, "right"))]
+            j = j[root[j] != root[i]]
             if len(j):
-                j = j[_fits(np.full(len(j), i), j, n, m, bits, percent)]
-                out.append(np.stack([np.full(len(j), sig[i]), sig[j]], axis=1))
-        pairs = np.concatenate(out) if out else np.zeros((0, 2), np.int64)
-        pairs = np.unique(np.sort(pairs, axis=1), axis=0)
-        return pa.Table.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+                for x in j[_fits(np.full(len(j), i), j, n, m, bits, percent)].tolist():
+                    a, b = find(at_root[i]), find(at_root[x])
+                    if a != b and _reaches(int(n[i]), tokens[i], int(n[x]), tokens[x], percent):
+                        parent[a] = b
+                        out.append((min(sig[i], sig[x]), max(sig[i], sig[x])))
+        return pa.Table.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64())], names=["a", "b"])
 
     return run
 
@@ -411,37 +422,35 @@ def _links(pairs: DataFrame, records: DataFrame, percent: int) -> DataFrame:
 
 def class_links(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """(a, b): links between classes of equal sets that join the same classes as all links at `percent` or more do."""
-    n = S.partitions(docs)
+    n = 2 * S.partitions(docs)
     tokens = docs.select("text").mapInArrow(_tokens(k, n), SENT)
-    shared = tokens.groupBy("bucket").applyInArrow(_shared(n), SENT)
-    records = S.table(shared.groupBy("bucket").applyInArrow(_records(percent), RECORD))
+    shared = tokens.groupBy("bucket").applyInArrow(S.frugal(_shared(n)), SENT)
+    records = S.table(shared.groupBy("bucket").applyInArrow(S.frugal(_records(percent)), RECORD))
     del tokens, shared
     S.release()
     sent = records.select("class", "n", "m", "prefix", "bits").mapInArrow(_postings(n), SENT)
-    found = S.cut(sent.groupBy("bucket").applyInArrow(_first_pairs(percent), "a long, b long, heavy long"))
+    found = S.cut(sent.groupBy("bucket").applyInArrow(S.frugal(_first_pairs(percent)), "a long, b long, heavy long"))
     pairs = found.filter("heavy is null").select("a", "b").distinct()
     links = S.cut(_links(pairs, records, percent))
     heavy = found.filter("heavy is not null").select(F.col("heavy").alias("token"), F.col("a").alias("length"))
     if heavy.isEmpty():
         return links
-    roots = components(links)
-    listed = (
-        records.select("class", "n", "m", "bits", "prefix")
-        .mapInArrow(_exploded, "class long, n int, m int, bits binary, token long")
-        .join(heavy, "token")
-        .join(roots.select(F.col("node").alias("class"), "root"), "class", "left")
-        .withColumn("root", F.coalesce("root", "class"))
-    )
+    roots = components(links).withColumnRenamed("node", "class")
+    listed = records.select("class", "prefix").mapInArrow(_exploded, "class long, token long").join(heavy, "token").join(roots, "class", "left").withColumn("root", F.coalesce("root", "class"))
+    listed = S.cut(listed)
+    several = listed.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("token")
     blocks = F.ceil(F.col("length") / BLOCK).cast("int")
     tasks = (
-        listed.withColumn("own", F.pmod(F.xxhash64("class"), blocks).cast("int"))
+        listed.join(several, "token")
+        .join(records.select("class", "n", "m", "bits", "tokens"), "class")
+        .withColumn("own", F.pmod(F.xxhash64("class"), blocks).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
         .withColumn("lo", F.least("own", "other"))
         .withColumn("hi", F.greatest("own", "other"))
         .drop("other", "length")
     )
-    more = tasks.groupBy("token", "lo", "hi").applyInArrow(_cross_pairs(percent), "a long, b long").distinct()
-    return links.unionByName(S.cut(_links(more, records, percent)))
+    more = tasks.groupBy("token", "lo", "hi").applyInArrow(S.frugal(_cross_links(percent)), "a long, b long")
+    return links.unionByName(S.cut(more))
 
 
 def _exploded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -449,7 +458,7 @@ def _exploded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         prefix = [np.frombuffer(x, np.int64) for x in batch.column("prefix").to_pylist()]
         at = pa.array(np.repeat(np.arange(len(prefix)), [len(x) for x in prefix]))
         token = pa.array(np.concatenate(prefix) if prefix else np.zeros(0, np.int64))
-        yield pa.RecordBatch.from_arrays([*[batch.column(c).take(at) for c in ("class", "n", "m", "bits")], token], names=["class", "n", "m", "bits", "token"])
+        yield pa.RecordBatch.from_arrays([batch.column("class").take(at), token], names=["class", "token"])
 
 
 def groups(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
