@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from tessella.llm import mixing, ngram_join, pieces, quality, substring, suffix_dedup
+from tessella.llm import mixing, ngram_join, pieces, quality, substring, suffix_dedup, toxicity
 
 QUERIES = {
     "op1_ngram_jaccard_join": ngram_join.op1_ngram_jaccard_join,
     "op2_mixing_sources": mixing.op2_mixing_sources,
     "op3_quality_rules": quality.op3_quality_rules,
     "op4_sentencepiece": pieces.op4_sentencepiece,
+    "op5_toxicity": toxicity.op5_toxicity,
     "op7_suffix_array_dedup": suffix_dedup.op7_suffix_array_dedup,
     "op8_substring_dedup": substring.op8_substring_dedup,
 }
