@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessella.llm import mixing, ngram_join, pieces, quality, substring, suffix_dedup, toxicity
+from tessella.llm import html_text, mixing, ngram_join, pieces, quality, substring, suffix_dedup, toxicity
 
 QUERIES = {
     "op1_ngram_jaccard_join": ngram_join.op1_ngram_jaccard_join,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_quality_rules": quality.op3_quality_rules,
     "op4_sentencepiece": pieces.op4_sentencepiece,
     "op5_toxicity": toxicity.op5_toxicity,
+    "op6_html_extraction": html_text.op6_html_extraction,
     "op7_suffix_array_dedup": suffix_dedup.op7_suffix_array_dedup,
     "op8_substring_dedup": substring.op8_substring_dedup,
 }
