@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessella.llm import html_text, mixing, ngram_join, pieces, quality, substring, suffix_dedup, toxicity
+from tessella.llm import html_text, mixing, nearest, ngram_join, pieces, quality, substring, suffix_dedup, toxicity
 
 QUERIES = {
     "op1_ngram_jaccard_join": ngram_join.op1_ngram_jaccard_join,
@@ -13,7 +13,9 @@ QUERIES = {
     "op6_html_extraction": html_text.op6_html_extraction,
     "op7_suffix_array_dedup": suffix_dedup.op7_suffix_array_dedup,
     "op8_substring_dedup": substring.op8_substring_dedup,
+    "op9_nearest_neighbours": nearest.op9_nearest_neighbours,
 }
 ORACLE_SQL: dict[str, str] = {
     "op2_mixing_sources": mixing.OP2_SQL,
+    "op9_nearest_neighbours": nearest.OP9_SQL,
 }
