@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessella.llm import html_text, mixing, nearest, ngram_join, pieces, quality, substring, suffix_dedup, toxicity
+from tessella.llm import html_text, mixing, nearest, ngram_join, pieces, quality, substring, suffix_dedup, token_files, toxicity
 
 QUERIES = {
     "op1_ngram_jaccard_join": ngram_join.op1_ngram_jaccard_join,
@@ -14,6 +14,7 @@ QUERIES = {
     "op7_suffix_array_dedup": suffix_dedup.op7_suffix_array_dedup,
     "op8_substring_dedup": substring.op8_substring_dedup,
     "op9_nearest_neighbours": nearest.op9_nearest_neighbours,
+    "op10_token_files": token_files.op10_token_files,
 }
 ORACLE_SQL: dict[str, str] = {
     "op2_mixing_sources": mixing.OP2_SQL,
