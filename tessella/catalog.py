@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from tessella.plans import curation, evaluation
+
+QUERIES = curation.QUERIES | evaluation.QUERIES
+ORACLE_SQL = curation.ORACLE_SQL | evaluation.ORACLE_SQL
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """Which copy of each document stays."""
+    return curation.k2_dedup_decisions(spark, sf_dir)
