@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from tessella.llm import html_text, mixing, nearest, ngram_join, pieces, quality, substring, suffix_dedup, token_files, toxicity
+from tessella.llm.oracles import ORACLE_SQL
 
 QUERIES = {
     "op1_ngram_jaccard_join": ngram_join.op1_ngram_jaccard_join,
@@ -16,7 +17,5 @@ QUERIES = {
     "op9_nearest_neighbours": nearest.op9_nearest_neighbours,
     "op10_token_files": token_files.op10_token_files,
 }
-ORACLE_SQL: dict[str, str] = {
-    "op2_mixing_sources": mixing.OP2_SQL,
-    "op9_nearest_neighbours": nearest.OP9_SQL,
-}
+
+__all__ = ["ORACLE_SQL", "QUERIES"]
