@@ -39,6 +39,15 @@ def table(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(at)
 
 
+def drop(df: DataFrame) -> None:
+    """Deletes the files of a table() that is not read any more."""
+    spark = df.sparkSession
+    for file in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        path = spark._jvm.org.apache.hadoop.fs.Path(file)
+        if path.getName().startswith("tessella-"):
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def partitions(df: DataFrame, mb: int = 16) -> int:
     """A number of blocks that follows the input's size: about `mb` of stored input a block, the session's shuffle partitions at least."""
     spark = df.sparkSession
@@ -110,14 +119,19 @@ def frugal_pair(run):
 
 
 def release() -> None:
-    """Lets Spark delete the shuffle files of results that nothing refers to any more."""
+    """Lets Spark delete the shuffle files of results that nothing refers to any more. Python's side lets go of them in a
+    thread of its own, and Spark's cleaner works in another, hence the pauses."""
     import gc
+    import time
 
     from pyspark import SparkContext
 
-    gc.collect()
-    if SparkContext._active_spark_context is not None:
-        SparkContext._active_spark_context._jvm.System.gc()
+    for _ in range(2):
+        gc.collect()
+        time.sleep(0.2)
+        if SparkContext._active_spark_context is not None:
+            SparkContext._active_spark_context._jvm.System.gc()
+        time.sleep(0.2)
 
 
 def bucket_of(h: np.ndarray, n: int) -> np.ndarray:

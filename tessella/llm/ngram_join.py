@@ -434,6 +434,7 @@ def class_links(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     links = S.cut(_links(pairs, records, percent))
     heavy = found.filter("heavy is not null").select(F.col("heavy").alias("token"), F.col("a").alias("length"))
     if heavy.isEmpty():
+        S.drop(records)
         return links
     roots = components(links).withColumnRenamed("node", "class")
     listed = records.select("class", "prefix").mapInArrow(_exploded, "class long, token long").join(heavy, "token").join(roots, "class", "left").withColumn("root", F.coalesce("root", "class"))
@@ -450,7 +451,9 @@ def class_links(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
         .drop("other", "length")
     )
     more = tasks.groupBy("token", "lo", "hi").applyInArrow(S.frugal(_cross_links(percent)), "a long, b long")
-    return links.unionByName(S.cut(more))
+    more = S.cut(more)
+    S.drop(records)
+    return links.unionByName(more)
 
 
 def _exploded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -468,10 +471,12 @@ def groups(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     row's own doc_id where the set is empty.
     """
     links = class_links(docs, k, percent)
+    S.release()
     own = docs.select("doc_id", "text").mapInArrow(_sets(k), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_shingles long, class long")
     own = S.cut(own)
     classes = own.filter("class is not null").groupBy("class").agg(F.min("doc_id").alias("class_id"))
     roots = components(links)
+    S.release()
     rooted = classes.join(roots.withColumnRenamed("node", "class"), "class", "left").withColumn("root", F.coalesce("root", "class"))
     least = rooted.groupBy("root").agg(F.min("class_id").alias("component_id"))
     named = rooted.join(least, "root").select("class", "class_id", "component_id")
