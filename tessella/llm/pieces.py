@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tessella.llm import _spark as S
 from tessella.llm import _text as X
 
 #: The vocabulary file; a parameter of every operator.
@@ -35,7 +36,7 @@ MODEL = "piece_bpe_32k.model"
 VARIANTS, DROPOUT, SEED = 4, 0.1, 29
 #: Segments of more symbols than this go through a heap one by one.
 LONG = 192
-CHUNK = 6 << 20
+CHUNK = 2 << 20
 NONE = np.int64(2**62)
 SPACE = "▁"
 
@@ -289,6 +290,7 @@ def _encoded(path: str, dropout: float, seed: int, digest: bool):
                 if not digest:
                     lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids, pa.int32()))
                     yield pa.RecordBatch.from_arrays([rows.column("row"), lists], names=["row", "ids"])
+                    S.trim()
                     continue
                 crc, whole, buffer, values = [], [], d.tobytes(), ids.astype("<u4")
                 for i in range(b - a):
@@ -297,6 +299,7 @@ def _encoded(path: str, dropout: float, seed: int, digest: bool):
                     whole.append(model.decode(own.tolist()) == buffer[o[i] : o[i + 1]])
                 n_bytes = pa.array(np.diff(o), pa.int64())
                 yield pa.RecordBatch.from_arrays([rows.column("row"), n_bytes, pa.array(count, pa.int64()), pa.array(crc, pa.int64()), pa.array(whole, pa.bool_())], names=["row", "n_bytes", "n_tokens", "ids_crc32", "lossless"])
+                S.trim()
 
     return run
 
