@@ -10,6 +10,7 @@ from __future__ import annotations
 import os
 import unicodedata
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 
@@ -51,7 +52,7 @@ class Encoder:
         self._forget()
 
     def _forget(self) -> None:
-        self.known: dict[int, int] = {}
+        self.keys, self.entry, self.count = np.zeros(0, np.uint64), np.zeros(0, np.int32), 0
         self.at, self.size = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64)
         self.ids, self.used = np.zeros(1 << 14, np.int32), 0
 
@@ -96,21 +97,28 @@ class Encoder:
             begins[p[rest] + size[rest]] = True
         return np.flatnonzero(begins[:n])
 
-    def _learn(self, keys: list[int], parts: list[str]) -> None:
-        if len(self.known) + len(keys) > REMEMBER:
-            self._forget()
+    def _learn(self, keys: np.ndarray, parts: list[str]) -> None:
+        """Remembers the ids of new parts; their keys are in order."""
         found = [e.ids for e in self.library.encode_batch_fast(parts, add_special_tokens=False)]
-        total, k = sum(map(len, found)), len(self.known)
-        while k + len(keys) > len(self.at):
+        size = np.fromiter(map(len, found), np.int64, len(found))
+        total, k, n = int(size.sum()), self.count, len(keys)
+        while k + n > len(self.at):
             self.at, self.size = np.concatenate([self.at, np.zeros_like(self.at)]), np.concatenate([self.size, np.zeros_like(self.size)])
         while self.used + total > len(self.ids):
             self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-        size = np.array([len(f) for f in found], np.int64)
-        self.size[k : k + len(keys)] = size
-        self.at[k : k + len(keys)] = self.used + np.cumsum(size) - size
-        self.ids[self.used : self.used + total] = np.concatenate([np.array(f, np.int32) for f in found])
-        self.used += total
-        self.known.update(zip(keys, range(k, k + len(keys)), strict=True))
+        self.size[k : k + n] = size
+        self.at[k : k + n] = self.used + np.cumsum(size) - size
+        self.ids[self.used : self.used + total] = np.fromiter(chain.from_iterable(found), np.int32, total)
+        self.used, self.count = self.used + total, k + n
+        held = np.concatenate([self.keys, keys])
+        order = np.argsort(held, kind="stable")  # two runs in order
+        self.keys, self.entry = held[order], np.concatenate([self.entry, np.arange(k, k + n, dtype=np.int32)])[order]
+
+    def _known(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The entries of keys, and which of them are known."""
+        at = np.searchsorted(self.keys, keys)
+        at[at == len(self.keys)] = 0
+        return (self.entry[at], self.keys[at] == keys) if len(self.keys) else (np.zeros(len(keys), np.int32), np.zeros(len(keys), bool))
 
     def encode(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of texts given as UTF-8, one text after another, and the number of each text's."""
@@ -120,7 +128,7 @@ class Encoder:
         head = np.zeros(len(data) + 1, np.int64)
         np.cumsum((data & 0xC0) != 0x80, out=head[1:])
         first = head[off]
-        points = np.minimum(points, LIMIT).astype(np.int64)
+        points = np.minimum(points, np.uint32(LIMIT))
         odd = np.flatnonzero(X.sums(self.classes[points] == UNSAFE, first) > 0)
         own = {}
         if len(odd):
@@ -138,20 +146,21 @@ class Encoder:
             size = np.diff(np.append(start, len(points)))
             with np.errstate(over="ignore"):
                 power = np.cumprod(np.full(int(size.max()), X.STEP))
-                value = _VALUE[points] * power[np.arange(len(points)) - np.repeat(start, size)]
+                value = _VALUE[points] * power[np.arange(len(points), dtype=np.int32) - np.repeat(start.astype(np.int32), size)]
                 key = X.mix(np.add.reduceat(value, start) + size.astype(np.uint64))
             u, which, back = np.unique(key, return_index=True, return_inverse=True)
-            keys = u.tolist()
-            new = [i for i, k in enumerate(keys) if k not in self.known]
-            if len(self.known) + len(new) > REMEMBER:
+            entry, known = self._known(u)
+            if not known.all() and self.count + len(u) - int(known.sum()) > REMEMBER:
                 self._forget()
-                new = list(range(len(keys)))
-            if new:
-                at, to = start[which[new]].tolist(), (start[which[new]] + size[which[new]]).tolist()
-                self._learn([keys[i] for i in new], [whole[a:b] for a, b in zip(at, to, strict=True)])
-            entry = np.fromiter((self.known[k] for k in keys), np.int64, len(keys))[back]
+                known[:] = False
+            if not known.all():
+                new = which[~known]
+                at = start[new]
+                self._learn(u[~known], [whole[a:b] for a, b in zip(at.tolist(), (at + size[new]).tolist(), strict=True)])
+                entry = self._known(u)[0]
+            entry = entry[back]
             times = self.size[entry]
-            place = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times) + np.repeat(self.at[entry], times)
+            place = np.arange(times.sum()) + np.repeat(self.at[entry] - (np.cumsum(times) - times), times)
             ids = self.ids[place]
             count = X.sums(times, np.searchsorted(start, first))
         else:

@@ -32,7 +32,7 @@ from tessella.llm import _text as X
 from tessella.llm import byte_ids
 
 END = 0
-CHUNK = 6 << 20
+CHUNK = 4 << 20
 NO_ID = -(2**63)
 _HEAD = "<qII"
 _STEP = 128
@@ -158,6 +158,7 @@ def _written(folder: str, path: str):
                     out.write(framed)
                     places.append(place + np.cumsum(size) - size)
                     place += len(framed)
+                    S.trim()
                     records += b - a
                     tokens += int(count.sum()) + b - a
         finally:
