@@ -34,6 +34,8 @@ def blind_trie(strings: list[bytes]) -> list[int]:
     for i, s in enumerate(strings):
         same.setdefault(s, []).append(i)
     u = list(same)
+    if not u:
+        return []
     root: list | int = 0  # a node: [place of the branch, child by byte (-1: the end), a leaf]; or a leaf
     for i in range(1, len(u)):
         s = u[i]
@@ -90,8 +92,6 @@ def sort(text: np.ndarray, start: np.ndarray, length: np.ndarray, group: np.ndar
     for a, m in zip(at[size > 1].tolist(), size[size > 1].tolist(), strict=True):
         i = order[a : a + m]
         deep = i[length[i] > SHALLOW]
-        if len(deep) < 2:
-            continue
         by = blind_trie([buffer[s + SHALLOW : s + k] for s, k in zip(start[deep].tolist(), length[deep].tolist(), strict=True)])
         order[a : a + m] = np.concatenate([i[length[i] <= SHALLOW], deep[by]])
     return order, _prefixes(text, start, length, order, head)

@@ -49,7 +49,7 @@ def test_edges_of_shared_passages(spark):
     assert found(df, 60, 16) == brute(rows, 60)
 
 
-@settings(max_examples=60, deadline=None)
+@settings(max_examples=300, deadline=None)
 @given(st.lists(st.tuples(st.integers(0, 2), st.text("ab", max_size=60)), min_size=1, max_size=25))
 def test_deep_shallow_sort(items):
     items = [(g, ("a" * 25 if i % 2 else "") + s) for i, (g, s) in enumerate(items)]
