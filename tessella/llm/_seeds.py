@@ -22,8 +22,10 @@ from tessella.llm import _spark as S
 from tessella.llm import _text as X
 
 FULL, SEND = 1, 2
-#: Anchors that a task gathers before it sends them.
-FLUSH = 1_500_000
+#: Anchors that a task gathers before it sends them, in all and for each bucket: packed rows are not to be nearly empty.
+FLUSH, FLUSH_BUCKET = 1_500_000, 16
+#: Stored input, in MB, whose anchors make a bucket, and whose texts make a block.
+BUCKET_MB, BLOCK_MB = 256, 64
 SHIFT = np.uint64(8)
 _INVERSE = np.uint64(pow(int(X.STEP), -1, 1 << 64))
 NO_ID = -(2**63)
@@ -105,7 +107,7 @@ def send_anchors(units: Callable, k: int, w: int, buckets: int, chunk: int):
                 text, left, right = seq.contexts(at, k, w)
                 context = seq.hashes(at - left, at + k + right) ^ X.mix((left * w + right).astype(np.uint64))
                 held.append((row[a + text], doc[a + text], seq.hashes(at, at + k), at - seq.first[text], context))
-                if sum(len(x[0]) for x in held) >= FLUSH:
+                if sum(len(x[0]) for x in held) >= max(FLUSH, FLUSH_BUCKET * buckets):
                     yield from _scatter(held, buckets)
                     held = []
                     S.trim()

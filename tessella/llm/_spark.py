@@ -48,12 +48,15 @@ def drop(df: DataFrame) -> None:
             path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def partitions(df: DataFrame, mb: int = 16) -> int:
-    """A number of blocks that follows the input's size: about `mb` of stored input a block, the session's shuffle partitions at least."""
+def partitions(df: DataFrame, mb: int = 64) -> int:
+    """A number of blocks that follows the input's size: about `mb` of stored input a block, the session's shuffle partitions at least.
+
+    Packed rows go from each task to each block, so blocks are as large as a worker can hold, not as small as can be.
+    """
     spark = df.sparkSession
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     least = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
-    return least if size >= 1 << 55 else max(least, min(size // (mb << 20), 1 << 20))  # an unknown size is given as a huge one
+    return least if size >= 1 << 55 else max(least, min(size // (mb << 20), 1 << 21))  # an unknown size is given as a huge one
 
 
 def block(column, n: int):

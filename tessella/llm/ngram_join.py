@@ -35,8 +35,8 @@ from tessella.llm._graph import components
 SMALL = 24
 #: Classes of a block in the second round.
 BLOCK = 2048
-#: Tokens that a task gathers before it sends them.
-FLUSH = 2_000_000
+#: Tokens that a task gathers before it sends them, in all and for each bucket: packed rows are not to be nearly empty.
+FLUSH, FLUSH_BUCKET = 2_000_000, 16
 WORDS = 8  # 64-bit words of the bitmap of a set
 SHIFT = np.uint64(8)
 
@@ -129,7 +129,7 @@ def _tokens(k: int, buckets: int):
                 base = sum(len(x[2]) for x in held)
                 held.append((doc + base, key, size, sig))
                 size_held += len(key)
-                if size_held >= FLUSH:
+                if size_held >= max(FLUSH, FLUSH_BUCKET * buckets):
                     yield from flush()
                     held, size_held = [], 0
                     S.trim()

@@ -150,15 +150,15 @@ def _remove(length: int, seed: int):
 def removed(docs: DataFrame, length: int = LENGTH, seed: int = SEED) -> DataFrame:
     """(row, kept, n_words, n_removed, n_spans) of each row of docs: all its columns, its remaining words joined by one
     space, its number of words, of removed words and of maximal removed runs."""
-    n = S.partitions(docs)
+    n, buckets = S.partitions(docs, A.BLOCK_MB), S.partitions(docs, A.BUCKET_MB)
     w = length - seed + 1
     rows = A.keyed(docs)
-    anchors = rows.select("doc_id", "text", "key").mapInArrow(A.send_anchors(_words, seed, w, n, CHUNK), A.SENT)
+    anchors = rows.select("doc_id", "text", "key").mapInArrow(A.send_anchors(_words, seed, w, buckets, CHUNK), A.SENT)
     first = S.table(anchors.groupBy("bucket").applyInArrow(S.frugal(A.settle(n, by_id=True)), A.REPLY))
     del anchors
     S.release()
     blocks = A.in_blocks(rows, n)
-    contexts = blocks.drop("row").groupBy("block").cogroup(first.groupBy("block")).applyInArrow(S.frugal_pair(_send_contexts(length, seed, n)), CONTEXTS)
+    contexts = blocks.drop("row").groupBy("block").cogroup(first.groupBy("block")).applyInArrow(S.frugal_pair(_send_contexts(length, seed, buckets)), CONTEXTS)
     second = S.table(contexts.groupBy("bucket").applyInArrow(S.frugal(_extend(length, seed, n)), A.REPLY))
     del contexts
     S.release()

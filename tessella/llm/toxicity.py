@@ -150,7 +150,8 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int
     share = (counts.get(1, 0) + 1) / (sum(counts.values()) + 2)
     order = F.xxhash64(F.col("doc_id"))
     few = known.filter("label = 0").orderBy(order).limit(sample).unionByName(known.filter("label = 1").orderBy(order).limit(sample))
-    rows = docs.select("doc_id", "text").join(F.broadcast(few), "doc_id").select("text", "label").mapInArrow(_featured, "label int, features binary").collect()  # at most 2 * sample rows on either side
+    own = docs.select("doc_id", "text").join(F.broadcast(few), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.min("label").alias("label"))  # at most 2 * sample rows, copies combined before the shuffle
+    rows = own.select("text", "label").mapInArrow(_featured, "label int, features binary").collect()
     return fit([np.frombuffer(r.features, np.int32) for r in rows], np.array([r["label"] for r in rows]), share)
 
 
