@@ -108,6 +108,49 @@ def evaluate(features: DataFrame, checks: Sequence[Check | Column], key: str = "
     return features.select(F.col(key).alias("sample_id"), F.posexplode(items).alias("seq", "c")).select("sample_id", "seq", "c.*")
 
 
+def evaluated(features: DataFrame, checks: Sequence[Check | Column], key: str = "sample_id") -> DataFrame:
+    """All checks of each sample as one array, in the order of the checks."""
+    items = F.array(*[c.row() if isinstance(c, Check) else c for c in checks])
+    return features.select(F.col(key).alias("sample_id"), items.alias("checks"))
+
+
+def _only(names: Sequence[str] | None) -> Column:
+    checks = F.col("checks")
+    return checks if names is None else F.filter(checks, lambda c: c["check_id"].isin(*names))
+
+
+def _worst(checks: Column) -> Column:
+    return F.coalesce(F.array_max(F.transform(checks, lambda c: _rank(c["decision_effect"]))), F.lit(0))
+
+
+def _name(worst: Column) -> Column:
+    return F.when(worst == 2, "retake").when(worst == 1, "warning").otherwise("pass")
+
+
+def decide_arrays(samples: DataFrame, priority: Sequence[str] = (), only: Sequence[str] | None = None) -> DataFrame:
+    """As decide(), for evaluated() samples: each decision is made within its row, so nothing is shuffled."""
+    order = F.array(*[F.lit(p) for p in priority]) if priority else F.array().cast("array<string>")
+    place = lambda r: F.when(F.array_contains(order, r), F.array_position(order, r)).otherwise(F.lit(len(priority) + 1).cast("long"))
+    hit = F.filter(_only(only), lambda c: (_rank(c["decision_effect"]) > 0) & c["reason_code"].isNotNull())
+    ranked = F.transform(hit, lambda c, i: F.struct((-_rank(c["decision_effect"])).alias("r"), place(c["reason_code"]).alias("o"), i.alias("i"), c["reason_code"].alias("x")))
+    rows = samples.select("sample_id", "checks", _worst(_only(only)).alias("worst"), F.array_min(ranked)["x"].alias("primary_reason"), F.array_join(F.array_distinct(F.transform(hit, lambda c: c["reason_code"])), "|").alias("reasons"))
+    return rows.select("sample_id", _name(F.col("worst")).alias("decision"), "primary_reason", "reasons", (F.col("worst") < 2).alias("usable"), F.forall("checks", lambda c: c["evaluation_state"] == "evaluated").alias("evaluation_complete"))
+
+
+def ablation_arrays(samples: DataFrame, layers: dict[str, Sequence[str]]) -> DataFrame:
+    """As ablation(), for evaluated() samples: only counts are shuffled."""
+    each = F.explode(F.array(*[F.struct(F.lit(k).alias("layer"), _name(_worst(_only(names))).alias("decision")) for k, names in layers.items()]))
+    return samples.select(each.alias("d")).groupBy("d.layer", "d.decision").agg(F.count("*").alias("n"))
+
+
+def attribution_arrays(samples: DataFrame, sources: dict[str, Sequence[str]]) -> DataFrame:
+    """As attribution(), for evaluated() samples."""
+    asked = lambda names: F.exists("checks", lambda c: c["check_id"].isin(*names) & F.coalesce(c["decision_effect"] == "retake", F.lit(False)))
+    names = F.array_join(F.filter(F.array(*[F.when(asked(v), k) for k, v in sources.items()]), lambda x: x.isNotNull()), "+")
+    flags = samples.select(names.alias("names")).filter("names <> ''")
+    return flags.groupBy(F.when(F.instr("names", "+") == 0, F.concat("names", F.lit("_only"))).otherwise(F.col("names")).alias("bucket")).agg(F.count("*").alias("n"))
+
+
 def _rank(effect: Column) -> Column:
     return F.when(effect == "retake", 2).when(effect == "warning", 1).when(effect == "pass", 0)
 

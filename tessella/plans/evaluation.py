@@ -183,10 +183,17 @@ def checks():
 PRIORITY = ("CAST", "NOTHING_THERE", "TOO_SMALL", "BLUR", "STAIN", "SMALL")
 
 
-def _rows(s, d):
+def _gate_features(s, d):
     li = B.table(s, d, "lineitem")
-    f = li.select(F.concat_ws("-", *[F.col(c).cast("string") for c in ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")]).alias("sample_id"), F.col("l_quantity").alias("quantity"), F.col("l_extendedprice").alias("price"), F.col("l_discount").alias("discount"), F.col("l_tax").alias("tax"), F.when(F.col("l_returnflag") != "R", F.col("l_tax")).alias("maybe"))
-    return gate.evaluate(f, checks())
+    return li.select(F.concat_ws("-", *[F.col(c).cast("string") for c in ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")]).alias("sample_id"), F.col("l_quantity").alias("quantity"), F.col("l_extendedprice").alias("price"), F.col("l_discount").alias("discount"), F.col("l_tax").alias("tax"), F.when(F.col("l_returnflag") != "R", F.col("l_tax")).alias("maybe"))
+
+
+def _rows(s, d):
+    return gate.evaluate(_gate_features(s, d), checks())
+
+
+def _arrays(s, d):
+    return gate.evaluated(_gate_features(s, d), checks())
 
 
 def m1_gate_checks(s, d):
@@ -194,15 +201,20 @@ def m1_gate_checks(s, d):
 
 
 def m13_gate_decisions(s, d):
+    return gate.decide_arrays(_arrays(s, d), PRIORITY)
+
+
+def m22_decisions_from_rows(s, d):
+    """The same from checks in long form."""
     return gate.decide(_rows(s, d), PRIORITY)
 
 
 def m20_ablation(s, d):
-    return gate.ablation(_rows(s, d), {"a": ["presence"], "b": ["presence", "scale", "focus"], "c": ["presence", "scale", "focus", "cast"], "d": [c for c in ("presence", "scale", "focus", "cast", "stain")]})
+    return gate.ablation_arrays(_arrays(s, d), {"a": ["presence"], "b": ["presence", "scale", "focus"], "c": ["presence", "scale", "focus", "cast"], "d": [c for c in ("presence", "scale", "focus", "cast", "stain")]})
 
 
 def m21_attribution(s, d):
-    return gate.attribution(_rows(s, d), {"size": ["presence", "scale"], "focus": ["focus"], "cast": ["cast"], "stain": ["stain"]})
+    return gate.attribution_arrays(_arrays(s, d), {"size": ["presence", "scale"], "focus": ["focus"], "cast": ["cast"], "stain": ["stain"]})
 
 
 def f28_status_breakdown(s, d):
@@ -214,7 +226,7 @@ def f29_incomplete_reasons(s, d):
 
 
 def c28_reason_counts(s, d):
-    return gate.reason_counts(gate.decide(_rows(s, d), PRIORITY))
+    return gate.reason_counts(gate.decide_arrays(_arrays(s, d), PRIORITY))
 
 
 def l9_integrity(s, d):
@@ -261,7 +273,7 @@ def i2_star_revenue(s, d):
     return j.rollup("r_name", F.year("o_orderdate").alias("year")).agg(F.round(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))), 2).alias("revenue"), F.count("*").alias("n"))
 
 
-QUERIES = {f.__name__: f for f in (o1_confusion, o2_auroc, o3_average_precision, o4_brier, o5_ece, o6_three_state, o8_mask_metrics, n1_dual_threshold, n3_tail_thresholds, n4_capped_threshold, n9_style_ranges, f15_quantile_summary, f18_scope_distribution, f19_nearest_rank, g11_size_buckets, h1_worst_k, h3_review_candidates, p1_cohens_d, p2_cohens_d_mean_variance, p3_robust_median_difference, p4_ks_wasserstein, p6_quantile_strata, p6_strata_verdict, p7_metadata_confounding, p8_near_duplicates, p9_common_support, p10_caliper_candidates, p10_caliper_matching, p13_centroid_distances, p15_probability_shift, p16_mode_ablation, p17_spearman, p18_pearson, p21_confounding_level, m1_gate_checks, m13_gate_decisions, m20_ablation, m21_attribution, f28_status_breakdown, f29_incomplete_reasons, c28_reason_counts, l9_integrity, c3_infer_split, c4_norm_label, c18_letterbox, c20_keyword_hits, c27_json_props, e13_unique_fuzzy_match, i2_star_revenue)}
+QUERIES = {f.__name__: f for f in (o1_confusion, o2_auroc, o3_average_precision, o4_brier, o5_ece, o6_three_state, o8_mask_metrics, n1_dual_threshold, n3_tail_thresholds, n4_capped_threshold, n9_style_ranges, f15_quantile_summary, f18_scope_distribution, f19_nearest_rank, g11_size_buckets, h1_worst_k, h3_review_candidates, p1_cohens_d, p2_cohens_d_mean_variance, p3_robust_median_difference, p4_ks_wasserstein, p6_quantile_strata, p6_strata_verdict, p7_metadata_confounding, p8_near_duplicates, p9_common_support, p10_caliper_candidates, p10_caliper_matching, p13_centroid_distances, p15_probability_shift, p16_mode_ablation, p17_spearman, p18_pearson, p21_confounding_level, m1_gate_checks, m13_gate_decisions, m22_decisions_from_rows, m20_ablation, m21_attribution, f28_status_breakdown, f29_incomplete_reasons, c28_reason_counts, l9_integrity, c3_infer_split, c4_norm_label, c18_letterbox, c20_keyword_hits, c27_json_props, e13_unique_fuzzy_match, i2_star_revenue)}
 
 _GATE = """f AS (
   SELECT concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey) AS sample_id, l_quantity AS quantity, l_extendedprice AS price, l_discount AS discount, l_tax AS tax, CASE WHEN l_returnflag <> 'R' THEN l_tax END AS maybe FROM lineitem
@@ -335,6 +347,7 @@ ORACLE_SQL = {
       a AS (SELECT dataset, CASE WHEN p > 0 AND q > 0 THEN (s - p * (p + 1) / 2) / (p * q) END AS auroc FROM s) SELECT dataset, round(auroc, 6) AS auroc, CASE WHEN auroc IS NULL THEN 'UNKNOWN' WHEN auroc >= 0.9 THEN 'SEVERE' WHEN auroc >= 0.8 THEN 'MODERATE' WHEN auroc >= 0.65 THEN 'LOW' ELSE 'NONE' END AS level FROM a""",
     "m1_gate_checks": f"""WITH {_GATE} SELECT sample_id, check_id, evaluation_state, CASE WHEN evaluation_state = 'evaluated' THEN coalesce(find, CASE WHEN e = 'pass' THEN 'false' ELSE 'true' END) END AS finding, CASE e WHEN 'retake' THEN 'severe' WHEN 'warning' THEN 'moderate' WHEN 'pass' THEN 'none' END AS severity, e AS decision_effect, r AS reason_code FROM c""",
     "m13_gate_decisions": f"WITH {_GATE} SELECT * FROM decided",
+    "m22_decisions_from_rows": f"WITH {_GATE} SELECT * FROM decided",
     "m20_ablation": f"""WITH {_GATE}, l AS (SELECT * FROM (VALUES ('a', 0), ('b', 0), ('b', 1), ('b', 3), ('c', 0), ('c', 1), ('c', 2), ('c', 3), ('d', 0), ('d', 1), ('d', 2), ('d', 3), ('d', 4)) t(layer, seq)),
       w AS (SELECT layer, sample_id, CASE WHEN bool_or(e = 'retake') THEN 'retake' WHEN bool_or(e = 'warning') THEN 'warning' ELSE 'pass' END AS decision FROM c JOIN l USING (seq) GROUP BY ALL) SELECT layer, decision, count(*) AS n FROM w GROUP BY ALL""",
     "m21_attribution": f"""WITH {_GATE}, g AS (SELECT sample_id, concat_ws('+', CASE WHEN bool_or(seq < 2 AND e = 'retake') THEN 'size' END, CASE WHEN bool_or(seq = 3 AND e = 'retake') THEN 'focus' END, CASE WHEN bool_or(seq = 2 AND e = 'retake') THEN 'cast' END, CASE WHEN bool_or(seq = 4 AND e = 'retake') THEN 'stain' END) AS b FROM c GROUP BY 1)

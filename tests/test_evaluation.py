@@ -134,3 +134,15 @@ def test_files(spark, tmp_path):
 def test_letterbox_rounds_half_to_even(spark):
     got = spark.range(1).select(*[c.alias(k) for k, c in X.letterbox(F.lit(5), F.lit(2), 5, 5).items()]).first()
     assert (got.resized_width, got.resized_height, got.pad_top, got.pad_bottom) == (5, 2, 1, 2)
+
+
+def test_arrays_and_rows_decide_alike(spark):
+    df = spark.range(300).selectExpr("cast(id as string) as sample_id", "if(id % 7 = 0, null, id % 5 * 1.0D) as x", "id % 3 * 1.0D as y")
+    rules = [gate.Check("a", (gate.Rule("x", "<", 1.0, "retake", "A"), gate.Rule("x", "<", 3.0, "warning", "A2"))), gate.Check("b", (gate.Rule("y", ">=", 2.0, "warning", "B"),)), gate.Check("c", (gate.Rule("y", ">=", 1.0, "retake", "C"),), enabled=False)]
+    rows, arrays = gate.evaluate(df, rules), gate.evaluated(df, rules)
+    for only in (None, ["b"]):
+        same = lambda d: sorted(map(tuple, d.select("sample_id", "decision", "primary_reason", "reasons", "usable").collect()), key=str)
+        assert same(gate.decide(rows, ["B", "A"], only)) == same(gate.decide_arrays(arrays, ["B", "A"], only))
+    layers, sources = {"1": ["a"], "2": ["a", "b"]}, {"left": ["a"], "right": ["b", "c"]}
+    assert sorted(map(tuple, gate.ablation(rows, layers).collect())) == sorted(map(tuple, gate.ablation_arrays(arrays, layers).collect()))
+    assert sorted(map(tuple, gate.attribution(rows, sources).collect())) == sorted(map(tuple, gate.attribution_arrays(arrays, sources).collect()))
