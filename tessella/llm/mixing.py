@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 
 from tessella.llm import _spark as S
 
-#: Tables of rates of more rows than this are not broadcast but joined by salted keys.
-BROADCAST_ROWS = 10_000
+#: Tables of distribution functions with more numbers than this (8 MB) are not broadcast but joined by salted keys.
+BROADCAST_NUMBERS = 1_000_000
 SALTS = 32
 
 
@@ -35,10 +35,10 @@ def rates(docs: DataFrame, weights: dict[str, float] | None = None, temperature:
         share = F.lit(0.0)
         for name, weight in weights.items():
             share = F.when(F.col("source").eqNullSafe(F.lit(name)), F.lit(float(weight))).otherwise(share)
-    sizes = sizes.withColumn("share", share)
-    total = sizes.agg(F.sum("size").alias("all_sizes"), F.sum("share").alias("all_shares"))
-    found = sizes.join(F.broadcast(total))  # one row
-    return found.select("source", "size", (F.lit(float(epochs)) * F.col("all_sizes") * F.col("share") / F.col("all_shares") / F.col("size")).alias("rate"))
+    sizes = S.cut(sizes.withColumn("share", share))
+    total = sizes.agg(F.sum("size").alias("sizes"), F.sum("share").alias("shares")).first()  # one row
+    every = F.lit(float(epochs)) * F.lit(float(total["sizes"] or 0))
+    return sizes.select("source", "size", (every * F.col("share") / F.lit(float(total["shares"] or 1)) / F.col("size")).alias("rate"))
 
 
 def _cdf(rate: Column) -> Column:
@@ -55,9 +55,9 @@ def _cdf(rate: Column) -> Column:
 
 def mix(docs: DataFrame, weights: dict[str, float] | None = None, temperature: float = 0.5, epochs: float = 1.0, seed: int = 17) -> DataFrame:
     """Every column of docs, and copy (from 1), n_copies, mix_key; partitions hold copies at random, in order of mix_key."""
-    table = S.cut(rates(docs, weights, temperature, epochs).select("source", _cdf(F.col("rate")).alias("cdf")))
+    table = rates(docs, weights, temperature, epochs).select("source", _cdf(F.col("rate")).alias("cdf"))
     row = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").alias("id"), F.col("source").alias("from"))
-    if table.count() <= BROADCAST_ROWS:
+    if (table.agg(F.sum(F.size("cdf"))).first()[0] or 0) <= BROADCAST_NUMBERS:
         joined = row.join(F.broadcast(table), F.col("from").eqNullSafe(F.col("source")))
     else:
         salted = table.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))

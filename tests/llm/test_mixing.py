@@ -32,7 +32,7 @@ def brute(rows, shares, seed=17):
 @pytest.mark.parametrize("salted", [False, True])
 def test_copies_match_brute_force(odd_docs, monkeypatch, salted):
     if salted:
-        monkeypatch.setattr(mixing, "BROADCAST_ROWS", 0)
+        monkeypatch.setattr(mixing, "BROADCAST_NUMBERS", 0)
     rows = [(r.doc_id, r.text, r.source) for r in odd_docs.collect()]
     size = Counter()
     for _, t, s in rows:
