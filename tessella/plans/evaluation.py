@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tessella.functions import scalars as X
-from tessella.operators import calibrate, gate, metrics, stats
+from tessella.operators import audit, calibrate, gate, metrics, stats
 from tessella.plans import bindings as B
 
 SCORES = """scores AS (
@@ -266,6 +266,38 @@ def e13_unique_fuzzy_match(s, d):
     return ingest.fuzzy_matches(keys.distinct(), "rid", names, "stem")
 
 
+def f22_scan_counts(s, d):
+    docs = B.table(s, d, "documents")
+    files = docs.select(F.col("lang").alias("dataset"), F.col("doc_id").cast("string").alias("path"), F.md5("text").alias("md5"), (F.col("n_chars") % 7).cast("int").alias("width"), (F.col("n_chars") % 5).cast("int").alias("height"), F.col("source").alias("stem"), F.when(F.col("n_chars") < 100, "short").alias("error"))
+    return audit.scan_report(files)["counts"]
+
+
+def f22_top_sizes(s, d):
+    docs = B.table(s, d, "documents")
+    files = docs.select(F.col("lang").alias("dataset"), F.col("doc_id").cast("string").alias("path"), F.md5("text").alias("md5"), (F.col("n_chars") % 7).cast("int").alias("width"), (F.col("n_chars") % 5).cast("int").alias("height"), F.col("source").alias("stem"), F.lit(None).cast("string").alias("error"))
+    return audit.scan_report(files, 3)["sizes"]
+
+
+def e12_pairing(s, d):
+    return _rounded(audit.pairing(B.table(s, d, "documents"), B.table(s, d, "labels"), "doc_id"), "rate")
+
+
+def o12_regression(s, d):
+    now = metrics.brier(B.scores(s, d), ["dataset"]).select(F.col("dataset").alias("domain"), (1 - F.col("brier")).alias("metric"))
+    before = B.scores(s, d).filter("source <> 'src0'").groupBy("dataset").agg((1 - F.avg((F.col("score") - F.col("label")) * (F.col("score") - F.col("label")))).alias("metric")).withColumnRenamed("dataset", "domain")
+    return _rounded(audit.regression(now, before, 0.001, 0.01), "now", "before", "delta")
+
+
+def p11_diagnostic_classifier(s, d):
+    scored = audit.diagnostic_classifier(B.features(s, d), ["chars", "words", "lines", "stops"], "label")
+    return metrics.auroc(scored).crossJoin(F.broadcast(audit.identity_accuracy(scored)))  # one row each
+
+
+def p12_dataset_identity(s, d):
+    f = B.features(s, d).withColumn("label", F.when(F.col("dataset") == "en", 0).when(F.col("dataset") == "fr", 1).otherwise(2))
+    return audit.identity_accuracy(audit.diagnostic_classifier(f, ["chars", "words", "lines", "stops"], "label", kind="forest", folds=3))
+
+
 def i2_star_revenue(s, d):
     """A sanity query over the star schema: revenue by region and year, with subtotals."""
     li, o, c, n, r = (B.table(s, d, t) for t in ("lineitem", "orders", "customer", "nation", "region"))
@@ -273,7 +305,7 @@ def i2_star_revenue(s, d):
     return j.rollup("r_name", F.year("o_orderdate").alias("year")).agg(F.round(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))), 2).alias("revenue"), F.count("*").alias("n"))
 
 
-QUERIES = {f.__name__: f for f in (o1_confusion, o2_auroc, o3_average_precision, o4_brier, o5_ece, o6_three_state, o8_mask_metrics, n1_dual_threshold, n3_tail_thresholds, n4_capped_threshold, n9_style_ranges, f15_quantile_summary, f18_scope_distribution, f19_nearest_rank, g11_size_buckets, h1_worst_k, h3_review_candidates, p1_cohens_d, p2_cohens_d_mean_variance, p3_robust_median_difference, p4_ks_wasserstein, p6_quantile_strata, p6_strata_verdict, p7_metadata_confounding, p8_near_duplicates, p9_common_support, p10_caliper_candidates, p10_caliper_matching, p13_centroid_distances, p15_probability_shift, p16_mode_ablation, p17_spearman, p18_pearson, p21_confounding_level, m1_gate_checks, m13_gate_decisions, m22_decisions_from_rows, m20_ablation, m21_attribution, f28_status_breakdown, f29_incomplete_reasons, c28_reason_counts, l9_integrity, c3_infer_split, c4_norm_label, c18_letterbox, c20_keyword_hits, c27_json_props, e13_unique_fuzzy_match, i2_star_revenue)}
+QUERIES = {f.__name__: f for f in (o1_confusion, o2_auroc, o3_average_precision, o4_brier, o5_ece, o6_three_state, o8_mask_metrics, n1_dual_threshold, n3_tail_thresholds, n4_capped_threshold, n9_style_ranges, f15_quantile_summary, f18_scope_distribution, f19_nearest_rank, g11_size_buckets, h1_worst_k, h3_review_candidates, p1_cohens_d, p2_cohens_d_mean_variance, p3_robust_median_difference, p4_ks_wasserstein, p6_quantile_strata, p6_strata_verdict, p7_metadata_confounding, p8_near_duplicates, p9_common_support, p10_caliper_candidates, p10_caliper_matching, p13_centroid_distances, p15_probability_shift, p16_mode_ablation, p17_spearman, p18_pearson, p21_confounding_level, m1_gate_checks, m13_gate_decisions, m22_decisions_from_rows, m20_ablation, m21_attribution, f28_status_breakdown, f29_incomplete_reasons, c28_reason_counts, l9_integrity, c3_infer_split, c4_norm_label, c18_letterbox, c20_keyword_hits, c27_json_props, e13_unique_fuzzy_match, f22_scan_counts, f22_top_sizes, e12_pairing, o12_regression, p11_diagnostic_classifier, p12_dataset_identity, i2_star_revenue)}
 
 _GATE = """f AS (
   SELECT concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey) AS sample_id, l_quantity AS quantity, l_extendedprice AS price, l_discount AS discount, l_tax AS tax, CASE WHEN l_returnflag <> 'R' THEN l_tax END AS maybe FROM lineitem
@@ -365,5 +397,13 @@ ORACLE_SQL = {
     "c27_json_props": "SELECT event_type, 'k' AS key, sum((props->>'$.k')::INTEGER)::BIGINT AS total, count(*) AS n FROM events WHERE (props->>'$.k') IS NOT NULL GROUP BY event_type",
     "e13_unique_fuzzy_match": """WITH k AS (SELECT lower(r_name) AS rid FROM region UNION SELECT substr(n_name, 2) FROM nation), e AS (SELECT rid, n_name AS stem, 'exact' AS how FROM k JOIN nation ON rid = n_name), r AS (SELECT rid FROM k WHERE rid NOT IN (SELECT rid FROM e)),
       m AS (SELECT rid, n_name AS stem, count(*) OVER (PARTITION BY rid) AS n FROM r JOIN nation ON contains(n_name, rid) OR contains(rid, n_name)) SELECT * FROM e UNION ALL SELECT rid, stem, 'contained' FROM m WHERE n = 1""",
+    "f22_scan_counts": """WITH n AS (SELECT lang AS dataset, count(*) AS n_files, count(*) FILTER (n_chars >= 100) AS readable, count(*) FILTER (n_chars < 100) AS corrupt, count(DISTINCT md5(text)) AS unique_digests FROM documents GROUP BY lang),
+      c AS (SELECT lang AS dataset, count(*) AS n FROM documents GROUP BY lang, md5(text) HAVING count(*) > 1), e AS (SELECT dataset, count(*) AS g, sum(n - 1)::BIGINT AS x FROM c GROUP BY dataset)
+      SELECT n.*, coalesce(g, 0) AS duplicate_groups, coalesce(x, 0) AS extra_files FROM n LEFT JOIN e USING (dataset)""",
+    "f22_top_sizes": """WITH z AS (SELECT lang AS dataset, (n_chars % 7)::VARCHAR || 'x' || (n_chars % 5)::VARCHAR AS size, count(*) AS n FROM documents GROUP BY ALL) SELECT dataset, size, n, rank FROM (SELECT *, row_number() OVER (PARTITION BY dataset ORDER BY n DESC, size)::INTEGER AS rank FROM z) WHERE rank <= 3""",
+    "e12_pairing": """SELECT count(*) FILTER (a IS NOT NULL AND b IS NOT NULL) AS paired, count(*) FILTER (b IS NULL) AS only_first, count(*) FILTER (a IS NULL) AS only_second, round(count(*) FILTER (a IS NOT NULL AND b IS NOT NULL) / (count(*) FILTER (a IS NOT NULL))::DOUBLE, 6) AS rate
+      FROM (SELECT DISTINCT doc_id AS a FROM documents) FULL JOIN (SELECT DISTINCT doc_id AS b FROM labels) ON a = b""",
+    "o12_regression": f"""WITH {SCORES}, x AS (SELECT dataset AS domain, 1 - avg((score - label) * (score - label)) AS now, 1 - avg((score - label) * (score - label)) FILTER (source <> 'src0') AS before FROM scores GROUP BY dataset)
+      SELECT domain, round(now, 6) AS now, round(before, 6) AS before, round(now - before, 6) AS delta, CASE WHEN now - before IS NULL THEN 'missing' WHEN now - before < -0.01 THEN 'failed' WHEN now - before < -0.001 THEN 'warning' ELSE 'ok' END AS status FROM x""",
     "i2_star_revenue": """SELECT r_name, year(o_orderdate)::INTEGER AS year, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue, count(*) AS n FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY ROLLUP (r_name, 2)""",
 }
