@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from tessella.llm import _spark as S
 from tessella.llm import _text as X
-from tessella.llm._graph import components
+from tessella.operators.graph import connected as components
 
 #: Lists up to this length are paired fully in the first round.
 SMALL = 24

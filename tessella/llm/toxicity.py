@@ -31,6 +31,8 @@ SAMPLE = 1500
 SMOOTHING, PENALTY, STEPS = 0.5, 0.02, 25
 #: Buckets that fewer texts of the sample have get no weight.
 LEAST_TEXTS = 3
+#: Features of the sample that the fit takes at once.
+PART = 400_000
 FOLDS = 5
 CHUNK = 1 << 20
 _PLACE = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F, 0x165667B1], np.uint32)
@@ -73,29 +75,35 @@ def fit(rows: list[np.ndarray], label: np.ndarray, share: float) -> tuple[np.nda
     weight = np.zeros(BUCKETS, np.float64)
     if not len(rows) or label.min() == label.max():
         return weight, prior
-    sizes = np.array([len(r) for r in rows])
-    bucket = np.concatenate(rows)
     y = label.astype(bool)
-    each = np.repeat(y, sizes)
-    common = np.bincount(bucket, minlength=BUCKETS) >= LEAST_TEXTS
-    ratio = [np.bincount(bucket[each == v], minlength=BUCKETS) + SMOOTHING for v in (True, False)]
-    ratio = np.log(ratio[0] / (y.sum() + 1)) - np.log(ratio[1] / ((~y).sum() + 1))
+    counts = {v: np.zeros(BUCKETS) for v in (True, False)}
+    for r, v in zip(rows, y.tolist(), strict=True):
+        counts[v][r] += 1
+    common = counts[True] + counts[False] >= LEAST_TEXTS
+    ratio = np.log((counts[True] + SMOOTHING) / (y.sum() + 1)) - np.log((counts[False] + SMOOTHING) / ((~y).sum() + 1))
     ratio[~common] = 0
-    sizes = np.array([common[r].sum() for r in rows])
-    bucket = (np.cumsum(common) - 1)[bucket[common[bucket]]]
-    n = int(common.sum())
-    first = np.concatenate([[0], np.cumsum(sizes)])
-    scale = ratio[common][bucket].astype(np.float32)
-    mean = max(float(sizes.mean()), 1.0)
-    sign = np.where(y, 1.0, -1.0)
+    place = (np.cumsum(common) - 1).astype(np.int32)
+    kept = [place[r[common[r]]] for r in rows]
+    sizes, n = np.array([len(k) for k in kept]), int(common.sum())
+    bucket, first = np.concatenate(kept), np.concatenate([[0], np.cumsum(sizes)])
+    del kept
+    scale = ratio[common].astype(np.float32)[bucket]
+    mean, sign = max(float(sizes.mean()), 1.0), np.where(y, 1.0, -1.0)
+    cuts = np.unique(np.append(np.searchsorted(first, np.arange(0, first[-1] + 1, PART)), len(y))).tolist()
+    parts = [(a, b, slice(int(first[a]), int(first[b]))) for a, b in zip([0, *cuts], cuts, strict=False) if b > a]
 
     def loss(w: np.ndarray) -> tuple[float, np.ndarray]:
-        total = np.concatenate([[0.0], np.cumsum(scale * w[bucket], dtype=np.float64)])
-        z = sign * (total[first[1:]] - total[first[:-1]] + w[-1])
-        g = -sign / (1 + np.exp(np.clip(z, -500, 500))) / len(y)
-        out = np.bincount(bucket, np.repeat(g, sizes) * scale, n + 1) + 2 * PENALTY / mean * w
-        out[-1] = g.sum()
-        return float(np.logaddexp(0, -z).mean() + PENALTY / mean * (w[:-1] ** 2).sum()), out
+        value, out = 0.0, 2 * PENALTY / mean * w
+        out[-1] = 0
+        for a, b, s in parts:
+            total = np.concatenate([[0.0], np.cumsum(scale[s] * w[bucket[s]], dtype=np.float64)])
+            at = first[a : b + 1] - first[a]
+            z = sign[a:b] * (total[at[1:]] - total[at[:-1]] + w[-1])
+            g = -sign[a:b] / (1 + np.exp(np.clip(z, -500, 500))) / len(y)
+            value += float(np.logaddexp(0, -z).sum()) / len(y)
+            out += np.bincount(bucket[s], np.repeat(g, sizes[a:b]) * scale[s], n + 1)
+            out[-1] += g.sum()
+        return value + PENALTY / mean * float((w[:-1] ** 2).sum()), out
 
     w = _least(loss, np.zeros(n + 1))
     balanced = float(np.log(y.sum() / (~y).sum()))
