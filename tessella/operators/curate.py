@@ -20,23 +20,31 @@ TIERS = {"gold": 3, "silver": 2, "weak": 1, "pseudo": 0}
 
 
 def duplicate_groups(samples: DataFrame, policy: CleaningPolicy) -> DataFrame:
-    """samples with duplicate_group_id and is_duplicate: rows with one digest in one dataset (or in all, by policy)."""
+    """samples with duplicate_group_id, is_duplicate and the canonical_sample_id of rows with one digest in one dataset (or in
+    all, by policy): the first by the policy's tie breakers, then by sample_id.
+
+    Groups are aggregated, which combines before the shuffle, and joined back, which can split a hot group; a window would
+    hold all copies of a text in one task.
+    """
     scope = ["dataset", "md5"] if policy.within_dataset else ["md5"]
     dataset = F.col("dataset") if policy.within_dataset else F.lit("all")
-    size = F.count(F.lit(1)).over(W.partitionBy(*scope))
-    out = samples.withColumn("duplicate_group_id", X.group_id(dataset, "md5", policy.group_template)).withColumn("is_duplicate", size > 1)
+    order = F.struct(*[F.struct(F.col(c).isNull(), F.col(c)) for c in policy.tie_breakers], F.col("sample_id").alias("id"))
+    groups = samples.groupBy(*[F.col(c).alias(f"_{c}") for c in scope]).agg(F.count("*").alias("_n"), F.min(order)["id"].alias("canonical_sample_id"))
+    on = F.lit(True)
+    for c in scope:
+        on = on & F.col(c).eqNullSafe(F.col(f"_{c}"))
+    out = samples.drop("duplicate_group_id").join(groups, on).withColumn("duplicate_group_id", X.group_id(dataset, "md5", policy.group_template)).withColumn("is_duplicate", F.col("_n") > 1).drop("_n", *[f"_{c}" for c in scope])
     return out if policy.singleton_groups else out.withColumn("duplicate_group_id", F.when(F.col("is_duplicate"), F.col("duplicate_group_id")))
 
 
 def decisions(samples: DataFrame, policy: CleaningPolicy) -> DataFrame:
-    """Which sample of each group stays: the first by the policy's tie breakers, then by sample_id."""
+    """Which sample of each group stays."""
     grouped = duplicate_groups(samples, policy).filter("duplicate_group_id is not null")
-    w = W.partitionBy("duplicate_group_id").orderBy(*[F.col(c).asc_nulls_last() for c in policy.tie_breakers], "sample_id")
-    rank = F.row_number().over(w)
-    return grouped.withColumn("rank", rank).withColumn("canonical_sample_id", F.first("sample_id").over(w)).select(
-        "sample_id", "dataset", "md5", "duplicate_group_id", "is_duplicate", "canonical_sample_id", (F.col("rank") == 1).alias("keep"),
-        F.when(F.col("rank") == 1, "canonical").otherwise("duplicate_alias").alias("decision"),
-        F.when(~F.col("is_duplicate"), "unique").when(F.col("rank") == 1, "first_by_policy").otherwise("same_digest").alias("reason"),
+    keep = F.col("sample_id") == F.col("canonical_sample_id")
+    return grouped.select(
+        "sample_id", "dataset", "md5", "duplicate_group_id", "is_duplicate", "canonical_sample_id", keep.alias("keep"),
+        F.when(keep, "canonical").otherwise("duplicate_alias").alias("decision"),
+        F.when(~F.col("is_duplicate"), "unique").when(keep, "first_by_policy").otherwise("same_digest").alias("reason"),
         F.lit(policy.version).alias("policy_version"),
     )
 
