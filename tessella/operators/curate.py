@@ -130,11 +130,11 @@ def reconciled(facts: DataFrame) -> DataFrame:
     wrong = wrong.distinct().select(*[F.col(c).alias(f"_{c}") for c in ("canonical_sample_id", "canonical_task", "label")])
     kept = own.join(wrong, F.expr("canonical_sample_id <=> _canonical_sample_id and canonical_task <=> _canonical_task and label <=> _label"), "left_anti")
     keys = ["canonical_sample_id", *FACT_KEY]
-    order = [F.desc(tier_rank("supervision_tier")), *[F.col(c).asc_nulls_last() for c in ("source_dataset", "label_source", "source_field", "source_label", "origin_sample_id")]]
-    best = F.first(F.struct("source_label", "source_dataset", "origin_sample_id")).over(W.partitionBy(*keys).orderBy(*order))
-    return kept.withColumn("best", best).groupBy(*keys).agg(
-        F.first("best").alias("best"), F.array_join(F.sort_array(F.collect_set("origin_sample_id")), "|").alias("origins"),
-        F.countDistinct("origin_sample_id").alias("n_origins"), F.count("*").alias("n_facts"),
+    last = lambda c: F.struct(F.col(c).isNull(), F.col(c))
+    order = F.struct((-tier_rank("supervision_tier")).alias("t"), *[last(c).alias(f"o_{c}") for c in ("source_dataset", "label_source", "source_field", "source_label", "origin_sample_id")])
+    return kept.groupBy(*keys).agg(
+        F.min_by(F.struct("source_label", "source_dataset"), order).alias("best"), F.array_join(F.sort_array(F.collect_set("origin_sample_id")), "|").alias("origins"),
+        F.size(F.collect_set("origin_sample_id")).cast("long").alias("n_origins"), F.count("*").alias("n_facts"),
     ).select(*keys, F.col("best.source_label").alias("source_label"), F.col("best.source_dataset").alias("source_dataset"), "origins", "n_origins", "n_facts")
 
 
