@@ -5,16 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessella import workers
 from tessella.llm import _spark, mixing, ngram_join, pieces, quality, substring
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the repetition rules reject go."""
+    workers.ready(spark)
     return quality.keep(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of documents that word 5-grams link at a Jaccard similarity of 0.8 or more, the one with the smallest doc_id stays."""
+    workers.ready(spark)
     groups = ngram_join.groups(docs, k=5, percent=80)
     first = groups.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("kept_id"))
     return docs.join(first, docs["doc_id"].eqNullSafe(first["kept_id"]), "left_semi")
@@ -22,6 +25,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Words that lie in a run of 13 words or more which a document with a smaller doc_id has too go."""
+    workers.ready(spark)
     return substring.dedup(docs)
 
 
@@ -32,6 +36,7 @@ def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def token_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, lang, source and the pieces of each text."""
+    workers.ready(spark)
     return pieces.encode(docs).select("doc_id", "lang", "source", "ids")
 
 
