@@ -27,7 +27,7 @@ from tessella.llm import _text as X
 LENGTHS = (3, 4, 5)
 BUCKETS = 1 << 19
 #: Rows of each label that the model is fitted on at most.
-SAMPLE = 1500
+SAMPLE = 1000
 SMOOTHING, PENALTY, STEPS = 0.5, 0.02, 25
 #: Buckets that fewer texts of the sample have get no weight.
 LEAST_TEXTS = 3
