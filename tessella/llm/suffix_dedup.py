@@ -28,7 +28,7 @@ from tessella.llm import _text as X
 
 #: Bytes of a string, and of an anchor within it.
 LENGTH, SEED = 200, 32
-CHUNK = 2 << 20
+CHUNK = 1 << 20
 
 CONTEXTS = "bucket int, rows binary, keys binary, places binary, lefts binary, rights binary, texts binary"
 _CONTEXTS = pa.schema([("bucket", pa.int32()), *[(n, pa.binary()) for n in ("rows", "keys", "places", "lefts", "rights", "texts")]])
@@ -135,18 +135,28 @@ def _remove(length: int, seed: int):
         found = list(A.replies(told))
         data, off = X.utf8(docs.column("text"))
         r, at, _ = A.places(docs, found, {1: A.FULL})
-        s1, e1 = off[r] + np.maximum(at - w + 1, 0), np.minimum(off[r] + at + seed + w - 1, off[r + 1])
-        r, start, end = A.places(docs, found, {2: 0})
-        gone = X.covered(len(data), np.concatenate([s1, off[r] + start]), np.concatenate([e1 - s1, end - start]))
-        begins = gone.copy()
-        begins[1:] &= ~gone[:-1]
-        inner = off[:-1][np.diff(off) > 0]
-        begins[inner] = gone[inner]
-        left = data[~gone]
-        size, removed = np.diff(off), X.sums(gone, off)
-        ends = np.concatenate([[0], np.cumsum(size - removed)])
-        kept = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(size), [None, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(left))]).cast(pa.binary())
-        return pa.Table.from_arrays([docs.column("row"), kept, *[pa.array(x, pa.int64()) for x in (size, removed, X.sums(begins, off))]], names=["row", "kept", "n_bytes", "n_removed", "n_spans"])
+        run_row, start, end = A.places(docs, found, {2: 0})
+        size = np.diff(off)
+        row = np.concatenate([r, run_row])
+        begin = np.concatenate([np.maximum(at - w + 1, 0), start])
+        stop = np.concatenate([np.minimum(at + seed + w - 1, size[r]), end])
+        order = np.argsort(row, kind="stable")
+        row, begin, stop = row[order], begin[order], stop[order]
+        left, counts = [], []
+        for a, b, d, o in X.chunks(data, off, CHUNK):
+            lo, hi = np.searchsorted(row, [a, b])
+            base = o[row[lo:hi] - a]
+            gone = X.covered(len(d), base + begin[lo:hi], stop[lo:hi] - begin[lo:hi])
+            begins = gone.copy()
+            begins[1:] &= ~gone[:-1]
+            inner = o[:-1][np.diff(o) > 0]
+            begins[inner] = gone[inner]
+            left.append(d[~gone])
+            counts.append((X.sums(gone, o), X.sums(begins, o)))
+        removed_, spans = (np.concatenate(x) for x in zip(*counts, strict=True)) if counts else (size, size)
+        ends = np.concatenate([[0], np.cumsum(size - removed_)]).astype(np.int64)
+        kept = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(size), [None, pa.py_buffer(ends), pa.py_buffer(np.concatenate(left) if left else np.zeros(0, np.uint8))]).cast(pa.binary())
+        return pa.Table.from_arrays([docs.column("row"), kept, *[pa.array(x, pa.int64()) for x in (size, removed_, spans)]], names=["row", "kept", "n_bytes", "n_removed", "n_spans"])
 
     return run
 
