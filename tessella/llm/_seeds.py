@@ -23,7 +23,7 @@ from tessella.llm import _text as X
 
 FULL, SEND = 1, 2
 #: Anchors that a task gathers before it sends them, in all and for each bucket: packed rows are not to be nearly empty.
-FLUSH, FLUSH_BUCKET = 1_500_000, 16
+FLUSH, FLUSH_BUCKET = 600_000, 16
 #: Stored input, in MB, whose anchors make a bucket, and whose texts make a block.
 BUCKET_MB, BLOCK_MB = 256, 64
 SHIFT = np.uint64(8)
@@ -110,7 +110,8 @@ def send_anchors(units: Callable, k: int, w: int, buckets: int, chunk: int):
                 if sum(len(x[0]) for x in held) >= max(FLUSH, FLUSH_BUCKET * buckets):
                     yield from _scatter(held, buckets)
                     held = []
-                    S.trim()
+            seq = at = text = left = right = context = None
+            S.trim()
         if held:
             yield from _scatter(held, buckets)
             held = []

@@ -27,7 +27,7 @@ from tessella.llm import _text as X
 
 #: Words of a window, and of a seed within it.
 LENGTH, SEED = 13, 4
-CHUNK = 4 << 20
+CHUNK = 2 << 20
 
 
 def _words(data: np.ndarray, off: np.ndarray) -> A.Sequence:
