@@ -1,11 +1,11 @@
 """SentencePiece encoding and decoding with seeded merge-dropout.
 
-A BPE model of the sentencepiece library is read for its pieces and scores; the agenda is worked here, for all distinct
-segments of a batch at once in numpy: in each round every segment makes its best merge (highest score, leftmost among
-equals) until none is left. With dropout, a candidate merge is skipped if a keyed hash of the seed, the segment's
-variant, the two pieces and their place falls under `dropout`; a candidate is skipped always or never, so it leaves the
-agenda for good. Each segment of each document draws one of `VARIANTS` variants from a keyed hash of the document and
-its place, so that equal words are cut in varied ways, the same in every run.
+A BPE model of the sentencepiece library is read for its pieces and scores; the agenda is worked here, for many segments
+of a batch at once in numpy: in each round every segment makes its best merge (highest score, leftmost among equals)
+until none is left. With dropout, a candidate merge is skipped if a keyed hash of the seed, the document, the segment's
+place in it, the two pieces and their place falls under `dropout`; a candidate is skipped always or never, so it leaves
+the agenda for good. Every segment of every document has draws of its own, the same in every run. Equal segments share
+their work only where none of the candidates that they meet without dropout is skipped, as their agenda is the same then.
 
 A segment is a run of spaces with the characters up to the next one; no piece of the model crosses its end, which is
 checked when the model is read. Without dropout the ids are the library's own. Characters that are no piece become byte
@@ -33,7 +33,9 @@ from tessella.llm import _text as X
 
 #: The vocabulary file; a parameter of every operator.
 MODEL = "piece_bpe_32k.model"
-VARIANTS, DROPOUT, SEED = 4, 0.1, 29
+DROPOUT, SEED = 0.1, 29
+#: Segments that occur less often than this in a batch are cut one by one; results do not depend on it.
+SHARED = 4
 #: Segments of more symbols than this go through a heap one by one.
 LONG = 192
 CHUNK = 2 << 20
@@ -41,6 +43,10 @@ NONE = np.int64(2**62)
 SPACE = "▁"
 
 
+def _limit(dropout: float) -> np.uint64:
+    return X.U64(min(int(dropout * 2**64), 2**64 - 1))
+
+
 def model_path(name: str = MODEL) -> str:
     import public_tokenizers
 
@@ -107,31 +113,41 @@ class Model:
                 out[hit] = values[slot[hit]]
         return out
 
+    @staticmethod
+    def _mark(left: np.ndarray, right: np.ndarray, place: np.ndarray) -> np.ndarray:
+        """A hash of a candidate within its segment."""
+        with np.errstate(over="ignore"):
+            return X.mix((left.astype(np.uint64) << X.U64(40)) ^ (right.astype(np.uint64) << X.U64(20)) ^ place.astype(np.uint64) * X.STEP)
+
     def candidates(self, left: np.ndarray, right: np.ndarray, place: np.ndarray, salt: np.ndarray, limit: np.uint64) -> tuple[np.ndarray, np.ndarray]:
         """Of pairs of neighbours: what they merge to (-1: nothing, or skipped) and its priority, least first."""
         made = self.merged(left, right)
         if limit:
-            with np.errstate(over="ignore"):
-                drawn = X.mix(salt ^ X.mix((left.astype(np.uint64) << X.U64(40)) ^ (right.astype(np.uint64) << X.U64(20)) ^ place.astype(np.uint64) * X.STEP))
-            made[drawn < limit] = -1
+            some = np.flatnonzero(made >= 0)
+            drawn = X.mix(salt[some] ^ self._mark(left[some], right[some], place[some]))
+            made[some[drawn < limit]] = -1
         return made, np.where(made >= 0, (self.rank[made] << 32) | place, NONE)
 
-    def cut(self, symbol: np.ndarray, size: np.ndarray, salt: np.ndarray, dropout: float) -> tuple[np.ndarray, np.ndarray]:
-        """The pieces of segments given as runs of symbols of these sizes: (pieces one after another, number of each)."""
-        limit = X.U64(min(int(dropout * 2**64), 2**64 - 1))
+    def cut(self, symbol: np.ndarray, size: np.ndarray, salt: np.ndarray, dropout: float, met: list | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """The pieces of segments given as runs of symbols of these sizes: (pieces one after another, number of each).
+
+        To `met` go (segment, mark) of all candidates that come up; for segments of up to LONG symbols only.
+        """
+        limit = _limit(dropout)
         done_seg, done_place, done_symbol = [], [], []
         seg = np.repeat(np.arange(len(size)), size)
         place = np.arange(len(symbol)) - np.repeat(np.cumsum(size) - size, size)
         long = size > LONG
+        start = np.cumsum(size) - size
         for s in np.flatnonzero(long).tolist():
-            a = int(size[:s].sum())
+            a = int(start[s])
             p, c = self._agenda(symbol[a : a + size[s]], salt[s], limit)
             done_seg.append(np.full(len(p), s))
             done_place.append(p)
             done_symbol.append(c)
         live = ~long[seg]
         seg, place, symbol = seg[live], place[live], symbol[live]
-        made, best = self._pairs(symbol, seg, place, salt, limit)
+        made, best = self._pairs(symbol, seg, place, salt, limit, met)
         while len(seg):
             first = np.flatnonzero(np.append(True, seg[1:] != seg[:-1]))
             least = np.minimum.reduceat(best, first)
@@ -159,16 +175,23 @@ class Model:
                 best[alone] = NONE
                 j = i[inside]
                 made[j], best[j] = self.candidates(symbol[j], symbol[j + 1], place[j], salt[seg[j]], limit)
+                self._meet(met, j, made, symbol, seg, place)
         if not done_seg:
             return np.zeros(0, np.int32), np.zeros(len(size), np.int64)
         seg, place, symbol = np.concatenate(done_seg), np.concatenate(done_place), np.concatenate(done_symbol)
         order = np.lexsort((place, seg))
         return symbol[order], np.bincount(seg, minlength=len(size))
 
-    def _pairs(self, symbol, seg, place, salt, limit):
+    def _meet(self, met, j, made, symbol, seg, place):
+        if met is not None:
+            j = j[made[j] >= 0]
+            met.append((seg[j], self._mark(symbol[j], symbol[j + 1], place[j])))
+
+    def _pairs(self, symbol, seg, place, salt, limit, met):
         made, best = np.full(len(symbol), -1, np.int32), np.full(len(symbol), NONE)
         j = np.flatnonzero(seg[1:] == seg[:-1])
         made[j], best[j] = self.candidates(symbol[j], symbol[j + 1], place[j], salt[seg[j]], limit)
+        self._meet(met, j, made, symbol, seg, place)
         return made, best
 
     def _agenda(self, symbol: np.ndarray, salt: np.uint64, limit: np.uint64) -> tuple[np.ndarray, np.ndarray]:
@@ -227,26 +250,57 @@ class Model:
         ordinal = np.arange(len(seg_at)) - np.searchsorted(seg_at, start)[text]
         with np.errstate(over="ignore"):
             base = X.mix(drawn + X.U64(seed) * X.STEP)
-            variant = X.mix(base[text] + ordinal.astype(np.uint64)) & X.U64(VARIANTS - 1) if dropout > 0 else np.zeros(len(seg_at), np.uint64)
+            salt = X.mix(base[text] + ordinal.astype(np.uint64))
             power = np.cumprod(np.full(int(seg_size.max()), X.STEP))
             at = np.arange(total) - np.repeat(seg_at, seg_size)
             value = X.mix(code.astype(np.uint64) + X.U64(1)) * power[at]
-            key = X.mix(np.add.reduceat(value, seg_at) + seg_size.astype(np.uint64)) ^ X.mix(variant + X.U64(7))
-        _, which, back = np.unique(key, return_index=True, return_inverse=True)
-        u_size = seg_size[which]
-        place = np.arange(u_size.sum()) - np.repeat(np.cumsum(u_size) - u_size, u_size)
-        source = place + np.repeat(seg_at[which], u_size)
-        salt = X.mix(variant[which] + X.mix(np.full(1, seed, np.uint64)))
+            key = X.mix(np.add.reduceat(value, seg_at) + seg_size.astype(np.uint64))
         # what is no piece stands for its bytes: it keeps its code point, negative, and merges with nothing
-        raw = symbol[source]
-        raw = np.where(raw >= 0, raw, -2 - code[source].astype(np.int64).astype(np.int32))
-        pieces, count = self.cut(raw, u_size, salt, dropout)
+        raw = np.where(symbol >= 0, symbol, -2 - code.astype(np.int64).astype(np.int32))
+        _, which, back, often = np.unique(key, return_index=True, return_inverse=True, return_counts=True)
+        if dropout > 0:
+            shared = (often >= SHARED) & (seg_size[which] <= LONG)
+            met: list = []
+            pieces, count = self._cut_at(raw, seg_at, seg_size, which[shared], salt, 0.0, met)
+            back = np.where(shared, np.cumsum(shared) - 1, -1)[back]
+            own = np.flatnonzero(back < 0)
+            like = np.flatnonzero(back >= 0)
+            own = np.concatenate([own, like[self._skips(met, back[like], salt[like], dropout)]])
+            back[own] = len(count) + np.arange(len(own))
+            more, n_more = self._cut_at(raw, seg_at, seg_size, own, salt, dropout)
+            pieces, count = np.concatenate([pieces, more]), np.concatenate([count, n_more])
+        else:
+            pieces, count = self._cut_at(raw, seg_at, seg_size, which, salt, 0.0)
         pieces, count = self._bytes(pieces, count)
         begin = np.cumsum(count) - count
         times = count[back]
         at = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times) + np.repeat(begin[back], times)
         return pieces[at], np.bincount(text, times, n).astype(np.int64)
 
+    def _cut_at(self, raw: np.ndarray, seg_at: np.ndarray, seg_size: np.ndarray, which: np.ndarray, salt: np.ndarray, dropout: float, met: list | None = None):
+        """The pieces of some of the segments."""
+        size = seg_size[which]
+        place = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+        return self.cut(raw[place + np.repeat(seg_at[which], size)], size, salt[which], dropout, met)
+
+    @staticmethod
+    def _skips(met: list, seg: np.ndarray, salt: np.ndarray, dropout: float, step: int = 1 << 16) -> np.ndarray:
+        """Of segments given by their numbers in `met`, whether any candidate there is skipped with their salts."""
+        out = np.zeros(len(seg), bool)
+        if not len(seg) or not met:
+            return out
+        limit = _limit(dropout)
+        of, mark = (np.concatenate(x) for x in zip(*met, strict=True))
+        mark = mark[np.argsort(of, kind="stable")]
+        n = np.bincount(of, minlength=int(seg.max()) + 1)
+        begin = np.cumsum(n) - n
+        for a in range(0, len(seg), step):
+            own, times = seg[a : a + step], n[seg[a : a + step]]
+            first = np.concatenate([[0], np.cumsum(times)])
+            at = np.arange(first[-1]) + np.repeat(begin[own] - first[:-1], times)
+            out[a : a + step] = X.sums(X.mix(np.repeat(salt[a : a + step], times) ^ mark[at]) < limit, first) > 0
+        return out
+
     def _bytes(self, pieces: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         odd = np.flatnonzero(pieces < 0)
         if not len(odd):

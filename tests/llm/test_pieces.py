@@ -73,3 +73,14 @@ def test_tables(odd_docs):
     got = pieces.digests(odd_docs).collect()
     assert len(got) == odd_docs.count() and all(r.lossless for r in got)
     assert pieces.encode(odd_docs.limit(0)).count() == 0
+
+
+def test_every_segment_draws_its_own_skips():
+    model, docs, seed = pieces.load(PATH), 300, 7
+    got = encode(["international international"] * docs, 0.1, seed)
+    symbol = model.char[[ord(c) for c in " international"]]
+    with np.errstate(over="ignore"):
+        base = X.mix(X.mix(np.arange(docs, dtype=np.uint64)) + X.U64(seed) * X.STEP)
+        cuts = [[slow(model, symbol, s, X.U64(int(0.1 * 2**64))) for s in X.mix(base + X.U64(k))] for k in range(2)]
+    assert got == [a + b for a, b in zip(*cuts, strict=True)]
+    assert len({tuple(x) for x in cuts[0] + cuts[1]}) > 4
