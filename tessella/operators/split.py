@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import hashlib
 from collections import defaultdict
+from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -80,72 +81,68 @@ def _rank(seed: int, text: str) -> int:
 
 
 class _Greedy:
-    """Groups of one stratum are placed one after another where the shares of sizes, facts and datasets stay closest to the ratios."""
+    """Groups are placed one after another where the shares of sizes, facts and datasets stay closest to the ratios.
+
+    Rows come in their order with the totals that they need; what is held is a count for each split, fact and dataset.
+    """
 
     def __init__(self, ratios: dict[str, float], seed: int):
         self.ratios, self.seed = ratios, seed
 
-    def place(self, rows: pd.DataFrame) -> pd.DataFrame:
+    def place(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = list(self.ratios)
         share = [self.ratios[s] for s in names]
-        facts = [dict(zip(f, map(int, n), strict=True)) for f, n in zip(rows.facts, rows.counts, strict=True)]
-        total, fact_total, holders, data_total = int(rows.n_samples.sum()), defaultdict(int), defaultdict(int), defaultdict(int)
-        for f, d, n in zip(facts, rows.datasets, rows.n_samples, strict=True):
-            data_total[d] += int(n)
-            for k, v in f.items():
-                fact_total[k] += v
-                holders[k] += 1
         size = [0.0] * len(names)
         by_fact, by_data = defaultdict(lambda: [0] * len(names)), defaultdict(lambda: [0] * len(names))
-        rarity = [min((fact_total[k] for k in f), default=10**9) for f in facts]
-        order = sorted(range(len(rows)), key=lambda i: (rarity[i], -int(rows.n_samples.iat[i]), _rank(self.seed, rows.split_group_id.iat[i]), rows.split_group_id.iat[i]))
-        chosen = [""] * len(rows)
         away = lambda held, whole: sum(abs(h - r * whole) for h, r in zip(held, share, strict=True))
-        for i in order:
-            n, d, best = int(rows.n_samples.iat[i]), rows.datasets.iat[i], None
-            for s, name in enumerate(names):
-                # only terms that this choice changes differ between the choices
-                change = 2 * (away([h + (j == s) * n for j, h in enumerate(size)], total) / total)
-                for k, v in facts[i].items():
-                    held = by_fact[k]
-                    change += (away([h + (j == s) * v for j, h in enumerate(held)], fact_total[k])) / fact_total[k]
-                    if holders[k] == 1 and name == "train":
-                        change -= 0.5
-                    elif holders[k] == 2 and name in ("train", "val"):
-                        change -= 0.2
-                held = by_data[d]
-                change += 1.5 * away([h + (j == s) * n for j, h in enumerate(held)], data_total[d]) / data_total[d]
-                mark = (round(change, 12), _rank(self.seed, f"{rows.split_group_id.iat[i]}::{name}"), s)
-                if best is None or mark < best:
-                    best = mark
-            s = best[2]
-            chosen[i] = names[s]
-            size[s] += n
-            by_data[d][s] += n
-            for k, v in facts[i].items():
-                by_fact[k][s] += v
-        return pd.DataFrame({"split_group_id": rows.split_group_id, "split": chosen, "split_reason": ["stratified"] * len(rows)})
-
-
-#: Groups of a stratum at most: a stratum is placed by one task, in sequence.
-STRATUM = 50_000
+        for batch in batches:
+            chosen = []
+            for row in batch.to_pylist():
+                n, total, group, best = row["n_samples"], row["total"], row["split_group_id"], None
+                of_data, data_total = by_data[row["datasets"]], row["data_total"]
+                facts = [(by_fact[f["fact"]], f["n"], f["fact_total"], f["holders"]) for f in row["f"]]
+                for s, name in enumerate(names):
+                    # only terms that this choice changes differ between the choices
+                    change = 2 * (away([h + (j == s) * n for j, h in enumerate(size)], total) / total)
+                    for held, v, fact_total, holders in facts:
+                        change += (away([h + (j == s) * v for j, h in enumerate(held)], fact_total)) / fact_total
+                        if holders == 1 and name == "train":
+                            change -= 0.5
+                        elif holders == 2 and name in ("train", "val"):
+                            change -= 0.2
+                    change += 1.5 * away([h + (j == s) * n for j, h in enumerate(of_data)], data_total) / data_total
+                    mark = (round(change, 12), _rank(self.seed, f"{group}::{name}"), s)
+                    if best is None or mark < best:
+                        best = mark
+                s = best[2]
+                chosen.append(names[s])
+                size[s] += n
+                of_data[s] += n
+                for held, v, _, _ in facts:
+                    held[s] += v
+            yield pa.RecordBatch.from_arrays([batch.column("split_group_id").cast(pa.string()), pa.array(chosen, pa.string()), pa.array(["stratified"] * len(chosen), pa.string())], names=["split_group_id", "split", "split_reason"])
 
 
 def assign_splits(groups: DataFrame, vectors: DataFrame, policy: SplitPolicy) -> DataFrame:
     """(split_group_id, split, split_reason): forced groups first, the others by greedy placement.
 
-    Placement is sequential, so groups are dealt by hash to strata of bounded size, each with the ratios of the whole;
-    up to STRATUM groups there is one stratum, and placement is global.
+    Each choice depends on all before it, so one task places all groups, in order of their rarest fact; it reads them as
+    a stream and holds counts only. Totals of sizes, facts and datasets and the holders of facts are aggregates.
     """
-    free = groups.filter("forced_split is null")
-    strata = max(1, -(-free.count() // STRATUM))
-    per = vectors.groupBy("split_group_id").agg(F.sort_array(F.collect_list(F.struct("fact", "n"))).alias("f"))
-    rows = free.join(per, "split_group_id", "left").select(
-        "split_group_id", "n_samples", "datasets", F.coalesce("f.fact", F.array().cast("array<string>")).alias("facts"), F.coalesce("f.n", F.array().cast("array<bigint>")).alias("counts"),
-        F.pmod(F.xxhash64("split_group_id"), F.lit(strata)).alias("stratum"),
+    free = groups.filter("forced_split is null").select("split_group_id", "n_samples", "datasets")
+    own = vectors.join(free.select("split_group_id"), "split_group_id")
+    of_fact = own.groupBy(F.col("fact").alias("of")).agg(F.sum("n").alias("fact_total"), F.count("*").alias("holders"))
+    of_data = free.groupBy(F.col("datasets").alias("of")).agg(F.sum("n_samples").alias("data_total"))
+    whole = free.agg(F.sum("n_samples").alias("total"))
+    # facts and datasets are as many as the counts that the placing task holds
+    per = own.join(F.broadcast(of_fact), F.col("fact").eqNullSafe(F.col("of"))).groupBy("split_group_id").agg(F.sort_array(F.collect_list(F.struct("fact", "n", "fact_total", "holders"))).alias("f"), F.min("fact_total").alias("rarity"))
+    rows = free.join(F.broadcast(of_data), F.col("datasets").eqNullSafe(F.col("of"))).crossJoin(F.broadcast(whole)).join(per, "split_group_id", "left")
+    rows = rows.select(
+        "split_group_id", F.col("n_samples").cast("long").alias("n_samples"), "datasets", "total", "data_total", F.coalesce("f", F.array().cast(per.schema["f"].dataType)).alias("f"),
+        F.coalesce("rarity", F.lit(10**9)).alias("rarity"), F.md5(F.concat(F.lit(f"{policy.seed}::"), "split_group_id")).substr(1, 16).alias("at"),
     )
-    greedy = _Greedy(dict(policy.ratios), policy.seed)
-    placed = rows.groupBy("stratum").applyInPandas(lambda stratum: greedy.place(stratum), "split_group_id string, split string, split_reason string")
+    ordered = rows.repartition(1).sortWithinPartitions("rarity", F.desc("n_samples"), "at", "split_group_id").drop("rarity", "at")
+    placed = ordered.mapInArrow(_Greedy(dict(policy.ratios), policy.seed).place, "split_group_id string, split string, split_reason string")
     forced = groups.filter("forced_split is not null").select("split_group_id", F.col("forced_split").alias("split"), F.lit("forced").alias("split_reason"))
     return placed.unionByName(forced)
 

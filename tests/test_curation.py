@@ -121,6 +121,16 @@ def test_greedy_split_keeps_ratios_and_groups(spark):
     assert a["grp::9"] == "train"
 
 
+def test_many_groups_are_placed_by_global_counts(spark):
+    n, facts = 50_200, 30
+    groups = spark.range(n).selectExpr("concat('grp::', id) as split_group_id", "1 as n_samples", "'x' as datasets", "cast(null as string) as forced_split")
+    vectors = spark.range(4 * facts).selectExpr("concat('grp::', id * 400) as split_group_id", "concat('f', id % 30) as fact", "1 as n")
+    placed = split.assign_splits(groups, vectors, SplitPolicy())
+    got = vectors.join(placed, "split_group_id").groupBy("fact").agg(F.count_if(F.col("split") == "train").alias("train"), F.count("*").alias("n")).collect()
+    # of four groups that hold a fact the fourth is better off outside train
+    assert len(got) == facts and {(r.train, r.n) for r in got} == {(3, 4)}
+
+
 def test_leaks_are_counted_and_found(spark):
     t = spark.createDataFrame([("1", "g", "m", "train"), ("2", "g", "n", "test"), ("3", "h", "m", "odd"), ("3", "h", "o", "odd")], "sample_id string, split_group_id string, md5 string, split string")
     assert {r.key: r.n_leaks for r in split.leakage(t).collect()} == {"sample_id": 0, "split_group_id": 1, "md5": 1}
