@@ -2,7 +2,8 @@
 
 The tokenizer cuts a text by a fixed pattern (contractions, letters, digits, other signs, white space) and merges within
 each part. Parts are found here in numpy by the classes of their characters, and each distinct part goes to the library
-once, so that the ids are the library's own. A text with a character outside the ranges below goes to it as a whole.
+once, so that the ids are the library's own. A text with a character outside the ranges below goes to it as a whole, and
+so does one with the literal of an added token, unless literals count as plain text.
 """
 
 from __future__ import annotations
@@ -41,12 +42,14 @@ def _classes() -> np.ndarray:
 
 
 class Encoder:
-    def __init__(self, path: str):
+    def __init__(self, path: str, plain: bool = True):
+        """plain: literals of added tokens are plain text, the library's `encode_special_tokens`."""
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True
+        self.library.encode_special_tokens = plain
+        self.literals = [] if plain else [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.vocabulary = self.library.get_vocab_size()
         self.classes = _classes()
         self._forget()
@@ -120,6 +123,17 @@ class Encoder:
         at[at == len(self.keys)] = 0
         return (self.entry[at], self.keys[at] == keys) if len(self.keys) else (np.zeros(len(keys), np.int32), np.zeros(len(keys), bool))
 
+    def _with_literals(self, whole: str, first: np.ndarray) -> np.ndarray:
+        """Of each text, whether a literal begins in it."""
+        out = np.zeros(len(first) - 1, bool)
+        for literal in self.literals:
+            at = whole.find(literal)
+            while at >= 0:
+                i = int(np.searchsorted(first, at, "right")) - 1
+                out[i] = True
+                at = whole.find(literal, int(first[i + 1]))
+        return out
+
     def encode(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of texts given as UTF-8, one text after another, and the number of each text's."""
         n = len(off) - 1
@@ -129,7 +143,7 @@ class Encoder:
         np.cumsum((data & 0xC0) != 0x80, out=head[1:])
         first = head[off]
         points = np.minimum(points, np.uint32(LIMIT))
-        odd = np.flatnonzero(X.sums(self.classes[points] == UNSAFE, first) > 0)
+        odd = np.flatnonzero((X.sums(self.classes[points] == UNSAFE, first) > 0) | self._with_literals(whole, first))
         own = {}
         if len(odd):
             texts = [whole[first[i] : first[i + 1]] for i in odd.tolist()]
@@ -176,5 +190,5 @@ _VALUE = np.random.default_rng(0x51D5).integers(1, 2**63, LIMIT + 1, dtype=np.ui
 
 
 @lru_cache(maxsize=2)
-def load(path: str) -> Encoder:
-    return Encoder(path)
+def load(path: str, plain: bool = True) -> Encoder:
+    return Encoder(path, plain)

@@ -137,7 +137,7 @@ def _written(folder: str, path: str):
         task = TaskContext.get()
         files, at = _files(folder)
         name = f"part-{task.partitionId():06d}-{task.taskAttemptId()}"
-        encoder = byte_ids.load(path)
+        encoder = byte_ids.load(path, plain=False)
         kind, width = (np.uint16, 2) if encoder.vocabulary <= 1 << 16 else (np.uint32, 4)
         records = tokens = place = 0
         places: list[np.ndarray] = []

@@ -87,3 +87,14 @@ def test_null_ids_and_empty(spark, odd_docs, tmp_path):
     folder, manifest = token_files.write(odd_docs.limit(0), f"file://{tmp_path}/b")
     assert token_files.digests(spark, folder, manifest).count() == 0
     assert token_files.read(spark, folder, manifest).count() == 0
+
+
+def test_literals_of_added_tokens_are_what_the_library_makes_of_them(spark, tmp_path):
+    own = ["a <|endoftext|> b", "plain", "<|endoftext|><|endoftext|> 漢", "<|endoftext", "|> x", "", "end<|endoftext|>"]
+    t = Tokenizer.from_file(PATH)
+    want = [t.encode(x, add_special_tokens=False).ids for x in own]
+    ids, count = byte_ids.load(PATH, plain=False).encode(*X.utf8(pa.array(own)))
+    assert [x.tolist() for x in np.split(ids, np.cumsum(count)[:-1])] == want and want[0] == [64, 220, 50256, 275]
+    docs = spark.createDataFrame(list(enumerate(own)), "doc_id long, text string")
+    folder, manifest = token_files.write(docs, f"file://{tmp_path}/out")
+    assert {r.doc_id: list(r.ids) for r in token_files.read(spark, folder, manifest).collect()} == {i: [*x, 0] for i, x in enumerate(want)}
