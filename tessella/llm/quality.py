@@ -20,11 +20,11 @@ from pyspark.sql import types as T
 
 from tessella.llm import _text as X
 
-#: Fixed values of the rules: window lengths in words, and the largest share (percent) of word characters in repeated windows of that length, every occurrence but the first counted.
+#: Fixed values of the rules: window lengths in words, and the largest share (percent) of word characters in repeated windows of that length, every occurrence but the first counted: those of MassiveText (Rae et al. 2021, arXiv 2112.11446, table A1).
 LENGTHS = (5, 7, 10)
-MOST_REPEATED = {5: 20, 7: 18, 10: 16}
-#: The largest share (percent) of characters in lines equal to an earlier line.
-MOST_IN_LINES = 30
+MOST_REPEATED = {5: 15, 7: 13, 10: 10}
+#: The largest share (percent) of characters in lines equal to an earlier line, from the same table.
+MOST_IN_LINES = 20
 LEAST_WORDS, MOST_IN_WINDOWS = 10, 20
 SYMBOLS = b"#*$%&|<>"
 

@@ -46,3 +46,10 @@ def test_keep_returns_the_columns_it_was_given(odd_docs):
 
 def test_empty_table(spark, odd_docs):
     assert quality.measure(odd_docs.limit(0)).count() == 0
+
+
+def test_coverage_rejects_what_the_base_rule_passes(spark):
+    passage = " ".join(f"again{i}" for i in range(12))
+    rest = [" ".join(f"w{k}x{i}" for i in range(55)) for k in range(5)]
+    got = quality.measure(spark.createDataFrame([(1, " ".join(f"{r} {passage}" for r in rest)), (2, " ".join([passage, *rest]))], "doc_id long, text string"))
+    assert {r.doc_id: (r.n_repeat_words, r.base_failed, r.kept) for r in got.collect()} == {1: (60, False, False), 2: (0, False, True)}
