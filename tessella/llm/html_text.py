@@ -6,7 +6,8 @@ it to its parent. Sum-product messages go up and down the tree once and give eac
 are the text. The weights are fitted by maximum likelihood, with the same messages, to labelled pages: `labelled_pages`
 lays out a fixed number of them at random from a seed, with known labels; others can be given.
 
-Defined cases: a null or empty page has the empty text; markup that never closes ends with the page; end tags without a
+Defined cases: a null or empty page has the empty text; markup that never closes ends with the page, and hidden
+elements that close by themselves, or not within their parent, are empty; end tags without a
 start are passed over; repeated rows get equal texts; extra columns stay as they are.
 """
 
@@ -14,6 +15,7 @@ from __future__ import annotations
 
 import random
 import re
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 from html import unescape
@@ -24,10 +26,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Fixed values of HTML: elements without an end, elements whose insides are no text, elements within a line.
+#: Fixed values of HTML: elements without an end, elements whose insides are no markup, elements whose insides are not shown as text, elements within a line.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-OPAQUE = frozenset("script style noscript template textarea title select svg math iframe object canvas audio video".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var".split())
+OPAQUE = frozenset("script style noscript textarea title iframe noembed noframes".split())
+HIDDEN = frozenset("template select svg object canvas audio video annotation annotation-xml".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var math maction menclose merror mfrac mi mmultiscripts mn mo mover mpadded mphantom mprescripts mroot mrow ms mspace msqrt mstyle msub msubsup msup mtable mtd mtext mtr munder munderover semantics".split())
 ENDS_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul".split())
 #: A start tag of the key ends an open element of the value, up to the container after it.
 ENDS = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table", "tbody", "thead", "tfoot"}), "td": ({"td", "th"}, {"tr"}), "th": ({"td", "th"}, {"tr"}), "tbody": ({"tbody", "thead", "tr", "td", "th"}, {"table"})}
@@ -55,6 +58,38 @@ def _cues(attributes: str) -> tuple[int, ...]:
     return tuple(sorted(found))
 
 
+def _raw_end(html: str, name: str, at: int) -> int:
+    """Where an element whose insides are no markup ends."""
+    stop = re.compile(f"</{name}(?=[\\s/>]|\\Z)[^>]*(?:>|\\Z)", re.I).search(html, at)
+    return stop.end() if stop else len(html)
+
+
+def _hidden(html: str, at: int, tags: list[str]) -> dict[int, int]:
+    """Of hidden elements from here on that end within their parents: from the end of the start tag to that of the end tag. tags: what is open."""
+    out, open_, count = {}, [(t, 0) for t in tags], Counter(tags)
+    while (m := _TOKEN.search(html, at)) is not None:
+        at = m.end()
+        name = m[2] or m[5]
+        if not name:
+            continue
+        name = name.lower()
+        if not (m[1] or m[4]):
+            if name in OPAQUE:
+                at = _raw_end(html, name, at)
+            elif name not in VOID and not ((name == "svg" or count["svg"]) and (m[3] or m[6] or "").endswith("/")):
+                open_.append((name, at))
+                count[name] += 1
+        elif count[name]:
+            while True:
+                top, start = open_.pop()
+                count[top] -= 1
+                if top == name:
+                    break
+            if name in HIDDEN and start:
+                out[start] = at
+    return out
+
+
 class Forest:
     """Nodes of many pages: parents, depths, kinds, features; leaves have texts. A page's first node is its root."""
 
@@ -81,6 +116,7 @@ class Forest:
         stack, tags = [self._add(-1, OTHER, ())], [""]
         run: list[str] = []
         linked, in_link, at = 0, False, 0
+        hidden: dict[int, int] | None = None
 
         def flush() -> None:
             nonlocal linked
@@ -116,8 +152,13 @@ class Forest:
                 continue
             if name in OPAQUE:
                 if not end:
-                    stop = re.compile(f"</{name}(?=[\\s/>]|\\Z)[^>]*(?:>|\\Z)", re.I).search(html, at)
-                    at = stop.end() if stop else len(html)
+                    at = _raw_end(html, name, at)
+                continue
+            if name in HIDDEN:
+                if not end:
+                    if hidden is None:
+                        hidden = _hidden(html, m.start(), tags[1:])
+                    at = hidden.get(at, at)
                 continue
             if end:
                 for i in range(len(tags) - 1, 0, -1):

@@ -85,3 +85,26 @@ def test_every_article_of_the_tables(spark, model):
         article = re.search(r"<article>(.*?)(</article>|$)", r.html, re.S)[1]
         blocks = [" ".join(unescape(re.sub("<br>", " ", re.sub("</?b>", "", x))).split()) for x in re.split("</?p>|</?h1>", article)]
         assert got[r.page_id] == "\n\n".join(b for b in blocks if b)
+
+
+ARTICLE = "<p>The first long sentence of the article, with words.</p>{}<p>The second long sentence of it, with more words.</p>"
+
+
+@pytest.mark.parametrize("odd", ['<svg class="i"/>', "<video src=x>", "<div><canvas></div>", "<svg><svg><path d=x /></svg><text>drawn</text></svg>", "<template><p>not shown</p></template>", "<audio><video></audio>", "<select><option>not shown</select>"])
+@pytest.mark.parametrize("page", ["<body>{}<article>" + ARTICLE.format("") + "</article></body>", "<body><article>" + ARTICLE + "</article></body>"])
+def test_hidden_elements_take_only_their_own_text(page, odd):
+    forest = H.Forest()
+    forest.add(page.format(odd))
+    assert [t for _, _, t in forest.leaves] == ["The first long sentence of the article, with words.", "The second long sentence of it, with more words."]
+
+
+def test_formulas_are_text_of_their_sentence():
+    forest = H.Forest()
+    forest.add("<p>So <math><semantics><mrow><mi>x</mi><mo>=</mo><mn>2</mn></mrow><annotation>x=2</annotation></semantics></math> holds.</p>")
+    assert [t for _, _, t in forest.leaves] == ["So x=2 holds."]
+
+
+def test_many_unclosed_elements_are_read_once():
+    forest = H.Forest()
+    forest.add("<svg>" * 20_000 + "<p>All the same.</p>")
+    assert [t for _, _, t in forest.leaves] == ["All the same."]
