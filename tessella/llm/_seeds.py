@@ -4,9 +4,10 @@ A text is a sequence of units (bytes or words). Of every `w` consecutive k-grams
 anchor (the rightmost of equal ones), so that any two equal runs of  span = k + w - 1  units have an anchor at the same
 place, and whatever runs around an anchor can match within its context: w - 1 units to either side.
 
-Round one sends (hash of the k-gram, hash of the context, place) of each anchor to ranges of hashes. Anchors with equal
-contexts are settled there; of different contexts with the same k-gram, one for each (see `Rule`) is asked for. Round
-two sends the contexts asked for, and the operator extends them against each other. Replies go to blocks of rows.
+Round one sends (56 bits of the k-gram's hash, 128 bits of the context's, place) of each anchor to ranges of hashes.
+Anchors with equal contexts are settled there; of different contexts with the same k-gram, one for each (see settle())
+is asked for. Round two sends the contexts asked for, and the operator extends them against each other, unit by unit.
+Replies go to blocks of rows. What a k-gram's hash brings together wrongly costs time only.
 """
 
 from __future__ import annotations
@@ -27,33 +28,37 @@ FLUSH, FLUSH_BUCKET = 600_000, 16
 #: Stored input, in MB, whose anchors make a bucket, and whose texts make a block.
 BUCKET_MB, BLOCK_MB = 256, 64
 SHIFT = np.uint64(8)
-_INVERSE = np.uint64(pow(int(X.STEP), -1, 1 << 64))
 NO_ID = -(2**63)
 
 
+def byte_grams(eight: np.ndarray, n: int, k: int) -> np.ndarray:
+    """A hash of each k bytes in a row of n bytes."""
+    if n < k:
+        return np.zeros(0, np.uint64)
+    if k % 8:
+        return X.grams(X.mix((eight[:n] & X.U64(255)) + X.U64(1)), k)
+    return X.grams(X.mix(eight[: n - 7]), k // 8, 8)
+
+
 class Sequence:
-    """Units of a run of texts as 64-bit values; `first` has the place of each text's first unit, one more at the end."""
+    """Units of a run of texts. gram: a hash of the k-gram at each place; eight: the units' bytes, `width` of them each;
+    first: the place of each text's first unit, one more at the end."""
 
-    def __init__(self, values: np.ndarray, first: np.ndarray):
-        self.first, self.n = first.astype(np.int64), len(values)
-        with np.errstate(over="ignore"):
-            self.prefix = np.zeros(self.n + 1, np.uint64)
-            np.cumsum(values * np.cumprod(np.full(self.n, X.STEP)), out=self.prefix[1:])
-            self.inverse = np.cumprod(np.full(self.n + 1, _INVERSE))
+    def __init__(self, gram: np.ndarray, eight: np.ndarray, width: int, first: np.ndarray):
+        self.gram, self.eight, self.width, self.first = gram, eight, width, first.astype(np.int64)
+        self.n = int(self.first[-1])
 
-    def hashes(self, start: np.ndarray | slice, end: np.ndarray | slice) -> np.ndarray:
+    def hashes(self, start: np.ndarray, end: np.ndarray, kind: int = 0) -> np.ndarray:
         """Hashes of the runs [start, end)."""
-        with np.errstate(over="ignore"):
-            return X.mix((self.prefix[end] - self.prefix[start]) * self.inverse[start])
+        return X.run_hashes(self.eight, self.width * start, self.width * (end - start), kind)
 
     def anchors(self, k: int, w: int) -> np.ndarray:
         """Places of the anchors, in order."""
         span, m = k + w - 1, self.n - k + 1
         if self.n < span:
             return np.zeros(0, np.int64)
-        gram = self.hashes(slice(0, m), slice(k, k + m))
         mask = X.U64((1 << self.n.bit_length()) - 1)
-        gram &= ~mask
+        gram = self.gram[:m] & ~mask
         gram |= mask - np.arange(m, dtype=np.uint64)
         least, size = gram, 1
         while size * 2 <= w:
@@ -100,17 +105,18 @@ def send_anchors(units: Callable, k: int, w: int, buckets: int, chunk: int):
             data, off = X.utf8(batch.column("text"))
             row, doc = batch.column("key").to_numpy(), ids(batch)
             for a, _, d, o in X.chunks(data, off, chunk):
-                seq = units(d, o)
+                seq = units(d, o, k)
                 at = seq.anchors(k, w)
                 if not len(at):
                     continue
                 text, left, right = seq.contexts(at, k, w)
-                context = seq.hashes(at - left, at + k + right) ^ X.mix((left * w + right).astype(np.uint64))
-                held.append((row[a + text], doc[a + text], seq.hashes(at, at + k), at - seq.first[text], context))
+                around = X.mix((left * w + right).astype(np.uint64))
+                contexts = [seq.hashes(at - left, at + k + right, kind) ^ around for kind in (0, 1)]
+                held.append((row[a + text], doc[a + text], seq.gram[at], at - seq.first[text], *contexts))
                 if sum(len(x[0]) for x in held) >= max(FLUSH, FLUSH_BUCKET * buckets):
                     yield from _scatter(held, buckets)
                     held = []
-            seq = at = text = left = right = context = None
+            seq = at = text = left = right = around = contexts = None
             S.trim()
         if held:
             yield from _scatter(held, buckets)
@@ -121,13 +127,13 @@ def send_anchors(units: Callable, k: int, w: int, buckets: int, chunk: int):
 
 
 def _scatter(held: list, buckets: int) -> Iterator[pa.RecordBatch]:
-    row, doc, key, place, context = (np.concatenate(x) for x in zip(*held, strict=True))
+    row, doc, key, place, context, more = (np.concatenate(x) for x in zip(*held, strict=True))
     order = np.argsort(key)
-    row, doc, key, place, context = (x[order] for x in (row, doc, key, place, context))
+    row, doc, key, place, context, more = (x[order] for x in (row, doc, key, place, context, more))
     out = []
     for b, lo, hi in S.bounds(key, buckets):
         _, at, item = np.unique(row[lo:hi], return_index=True, return_inverse=True)
-        out.append((b, row[lo:hi][at].tobytes(), S.planes(doc[lo:hi][at]), S.planes(item.astype(np.uint32)), S.deltas(key[lo:hi] >> SHIFT), S.planes(place[lo:hi].astype(np.uint32)), context[lo:hi].tobytes()))
+        out.append((b, row[lo:hi][at].tobytes(), S.planes(doc[lo:hi][at]), S.planes(item.astype(np.uint32)), S.deltas(key[lo:hi] >> SHIFT), S.planes(place[lo:hi].astype(np.uint32)), context[lo:hi].tobytes() + more[lo:hi].tobytes()))
     yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int32()), *[pa.array([x[j] for x in out], pa.binary()) for j in range(1, 7)]], schema=_SENT)
 
 
@@ -151,14 +157,14 @@ def settle(blocks: int, by_id: bool):
     Nothing is asked for where a k-gram has a single context, or (with by_id) a single document."""
 
     def run(table: pa.Table) -> pa.Table:
-        cols = [[], [], [], [], [], []]
+        cols = [[], [], [], [], [], [], []]
         base = 0
         for r, d, i, x, p, c in zip(*[table.column(n).to_pylist() for n in ("rows", "ids", "items", "keys", "places", "contexts")], strict=True):
-            r = np.frombuffer(r, np.int64)
-            for to, v in zip(cols, (r, S.unplanes(d, np.int64), S.unplanes(i, np.uint32).astype(np.int64) + base, S.undeltas(x, np.uint64), S.unplanes(p, np.uint32), np.frombuffer(c, np.uint64)), strict=True):
+            r, c = np.frombuffer(r, np.int64), np.frombuffer(c, np.uint64).reshape(2, -1)
+            for to, v in zip(cols, (r, S.unplanes(d, np.int64), S.unplanes(i, np.uint32).astype(np.int64) + base, S.undeltas(x, np.uint64), S.unplanes(p, np.uint32), *c), strict=True):
                 to.append(v)
             base += len(r)
-        row, doc, item, key, place, context = (np.concatenate(x) for x in cols)
+        row, doc, item, key, place, context, more = (np.concatenate(x) for x in cols)
         order = np.argsort(key)
         k = key[order]
         same = k[1:] == k[:-1]
@@ -167,15 +173,15 @@ def settle(blocks: int, by_id: bool):
         many[:-1] |= same
         at = order[many]
         own = doc[item[at]]
-        order = np.lexsort((own, context[at], key[at]))
+        order = np.lexsort((own, more[at], context[at], key[at]))
         at, own = at[order], own[order]
-        k, c = key[at], context[at]
+        k, c, m = key[at], context[at], more[at]
         n = len(at)
         if not n:
             return reply(blocks, 1, at, at, at)
         new_key, new_context = np.ones(n, bool), np.ones(n, bool)
         new_key[1:] = k[1:] != k[:-1]
-        new_context[1:] = new_key[1:] | (c[1:] != c[:-1])
+        new_context[1:] = new_key[1:] | (c[1:] != c[:-1]) | (m[1:] != m[:-1])
         of_key, of_context = np.cumsum(new_key) - 1, np.cumsum(new_context) - 1
         contexts = np.bincount(of_key[new_context])
         ask = (contexts > 1)[of_key]

@@ -7,7 +7,7 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -59,8 +59,28 @@ def partitions(df: DataFrame, mb: int = 64) -> int:
     return least if size >= 1 << 55 else max(least, min(size // (mb << 20), 1 << 21))  # an unknown size is given as a huge one
 
 
-def block(column, n: int):
-    return F.pmod(F.xxhash64(column), F.lit(n)).cast("int")
+#: Rows of a table that looked_up() broadcasts, at most.
+HOT_KEYS = 20_000
+
+
+def looked_up(rows: DataFrame, table: DataFrame, key: str, n: str, inner: bool = False, made: Column | None = None) -> DataFrame:
+    """rows with the columns of table(key, ...), which has each key once and in column n the number of rows with it.
+
+    Keys of more than a HOT_KEYS-th of all rows are at most HOT_KEYS, so their part of the table is broadcast and their
+    rows are not shuffled; the other keys are joined as usual. rows are read twice, so they should be stored. made: the
+    key of rows, where it is no column of theirs. With `inner`, rows without a key in the table are left out.
+    """
+    total = table.agg(F.sum(n)).first()[0] or 0
+    least = max(total // HOT_KEYS, 100)
+    other = table.drop(n).withColumnRenamed(key, "_key")
+    held = rows.withColumn("_own", F.col(key) if made is None else made)
+    hot = table.filter(F.col(n) > least).select(F.col(key).alias("_hot"))  # at most HOT_KEYS rows
+    if hot.isEmpty():
+        return held.join(other, F.col("_own") == F.col("_key"), "inner" if inner else "left").drop("_own", "_key")
+    head = table.filter(F.col(n) > least).drop(n).withColumnRenamed(key, "_key")
+    a = held.join(F.broadcast(head), F.col("_own") == F.col("_key"))
+    b = held.join(F.broadcast(hot), F.col("_own") == F.col("_hot"), "left_anti").join(table.filter(F.col(n) <= least).drop(n).withColumnRenamed(key, "_key"), F.col("_own") == F.col("_key"), "inner" if inner else "left")
+    return a.unionByName(b).drop("_own", "_key")
 
 
 def planes(x: np.ndarray) -> bytes:

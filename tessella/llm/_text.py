@@ -1,7 +1,9 @@
 """Words, lines and hashes of whole texts, for many texts at once, in numpy.
 
 Words are maximal runs of bytes other than space and 0x09-0x0D. All of these are single bytes in UTF-8, so texts are
-never decoded. Hashes are 64 bits wide.
+never decoded. Hashes are 64 bits wide, taken from blocks of eight bytes that are each mixed with their place, so that
+no structure of a text makes them collide; two of them with different `kind` are independent. Where texts are at hand,
+equal hashes only propose that runs are equal, and unlike() compares their bytes.
 """
 
 from __future__ import annotations
@@ -15,7 +17,12 @@ U64 = np.uint64
 _RNG = np.random.default_rng(0x7E55E11A)
 BYTE = _RNG.integers(1, 2**63, 256, dtype=np.uint64) * U64(2) + U64(1)
 STEP = U64(0x9E3779B97F4A7C15)
-PLACE = _RNG.integers(1, 2**63, 64, dtype=np.uint64) * U64(2) + U64(1)
+#: Independent hashes differ by these.
+KIND = _RNG.integers(1, 2**63, 2, dtype=np.uint64) * U64(2) + U64(1)
+#: Bytes of a block that begin a run of so many bytes.
+_FIRST = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
+#: Runs of more blocks than this are taken one after another.
+_BLOCKS = 64
 CHUNK_BYTES = 4 << 20
 
 
@@ -84,18 +91,14 @@ class Words:
 
     def hashes(self, lower: bool = False) -> np.ndarray:
         """A hash of each word's bytes; with `lower`, of those with A-Z in lower case."""
-        if not len(self.start):
-            return np.zeros(0, np.uint64)
-        w = self.data[self.inside]
+        data = self.data
         if lower:
-            w = np.where((w >= 65) & (w <= 90), w + 32, w).astype(np.uint8)
-        length = self.end - self.start
-        at = np.zeros(len(length), np.int64)
-        np.cumsum(length[:-1], out=at[1:])
-        with np.errstate(over="ignore"):
-            power = np.cumprod(np.full(int(length.max()), STEP))
-            value = BYTE[w] * power[np.arange(len(w)) - np.repeat(at, length)]
-            return mix(np.add.reduceat(value, at) + length.astype(np.uint64))
+            data = np.where((data >= 65) & (data <= 90), data + 32, data).astype(np.uint8)
+        return run_hashes(eights(data), self.start, self.end - self.start)
+
+    def ids(self) -> np.ndarray:
+        """A number of each word: words have the same one if and only if their bytes are equal."""
+        return alike(eights(self.data), self.start, self.end - self.start, self.hashes())
 
     def points(self) -> np.ndarray:
         """Code points of each word."""
@@ -104,18 +107,90 @@ class Words:
         return head[self.end] - head[self.start]
 
 
+def eights(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place on as a number, zeros after the end."""
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[: len(data)] = data
+    return np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))
+
+
+def run_hashes(eight: np.ndarray, start: np.ndarray, length: np.ndarray, kind: int = 0) -> np.ndarray:
+    """A hash of each run of bytes: a sum over its blocks, each mixed with its place in the run."""
+    with np.errstate(over="ignore"):
+        total = length.astype(np.uint64) * KIND[kind]
+        at, j = np.arange(len(start)), 0
+        while len(at) and j < _BLOCKS:
+            left = length[at] - 8 * j
+            total[at] += mix((eight[start[at] + 8 * j] & _FIRST[np.minimum(left, 8)]) + KIND[kind] * U64(j + 1))
+            at = at[left > 8]
+            j += 1
+        for i in at.tolist():
+            place = np.arange(8 * j, int(length[i]), 8)
+            block = eight[int(start[i]) + place] & _FIRST[np.minimum(int(length[i]) - place, 8)]
+            total[i] += mix(block + KIND[kind] * (place // 8 + 1).astype(np.uint64)).sum(dtype=np.uint64)
+        return mix(total ^ KIND[1 - kind])
+
+
+def unlike(eight: np.ndarray, a: np.ndarray, b: np.ndarray, length: np.ndarray, other: np.ndarray | None = None) -> np.ndarray:
+    """Of pairs of runs of one length, whether any of their bytes differ; the second ones lie in `other` if that is given."""
+    out, to = np.zeros(len(a), bool), eight if other is None else other
+    at, j = np.flatnonzero((a != b) & (length > 0)) if other is None else np.flatnonzero(length > 0), 0
+    while len(at) and j < _BLOCKS:
+        left = length[at] - 8 * j
+        bad = ((eight[a[at] + 8 * j] ^ to[b[at] + 8 * j]) & _FIRST[np.minimum(left, 8)]) != 0
+        out[at[bad]] = True
+        at = at[~bad & (left > 8)]
+        j += 1
+    for i in at.tolist():
+        place = np.arange(0, int(length[i]), 8)
+        out[i] = bool(((eight[int(a[i]) + place] ^ to[int(b[i]) + place]) & _FIRST[np.minimum(int(length[i]) - place, 8)]).any())
+    return out
+
+
+def representatives(eight: np.ndarray, start: np.ndarray, length: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(places in the list of one run of each kind, the number of each run's kind); runs are of a kind if and only if their bytes are equal.
+
+    Equal keys propose kinds. Runs that differ from the one that stands for their key are told apart by their bytes.
+    """
+    _, which, back = np.unique(key, return_index=True, return_inverse=True)
+    like = which[back]
+    odd = length != length[like]
+    odd |= unlike(eight, start, start[like], np.where(odd, 0, length))
+    odd = np.flatnonzero(odd)
+    if len(odd):
+        buffer = np.asarray(eight.base).tobytes()
+        known: dict[bytes, int] = {}
+        for i in odd.tolist():
+            back[i] = known.setdefault(buffer[start[i] : start[i] + length[i]], len(which) + len(known))
+        _, first = np.unique(back[odd], return_index=True)
+        which = np.concatenate([which, odd[first]])
+    return which, back
+
+
+def alike(eight: np.ndarray, start: np.ndarray, length: np.ndarray, key: np.ndarray) -> np.ndarray:
+    return representatives(eight, start, length, key)[1]
+
+
+def grams(h: np.ndarray, k: int, stride: int = 1) -> np.ndarray:
+    """A hash of each k values in a row (`stride` places apart), by halves: every step mixes, so that none is linear in the values."""
+    if k == 1:
+        return h
+    x, a = (grams(h, k - 1, stride), k - 1) if k % 2 else (grams(h, k // 2, stride), k // 2)
+    n = len(h) - (k - 1) * stride
+    if n <= 0:
+        return np.zeros(0, np.uint64)
+    with np.errstate(over="ignore"):
+        return mix(x[:n] * STEP + (h if k % 2 else x)[a * stride : a * stride + n])
+
+
 def windows(h: np.ndarray, first: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all windows of k consecutive words within one text, and the place of each window's first word."""
     n = len(h) - k + 1
     if n <= 0:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    with np.errstate(over="ignore"):
-        x = h[:n] * PLACE[0]
-        for j in range(1, k):
-            x += h[j : j + n] * PLACE[j]
     left = np.repeat(first[1:], np.diff(first))[:n] - np.arange(n)
     at = np.flatnonzero(left >= k)
-    return mix(x[at]), at
+    return grams(h, k)[at], at
 
 
 def repeated(keys: np.ndarray) -> np.ndarray:

@@ -2,7 +2,8 @@
 
 The tokenizer cuts a text by a fixed pattern (contractions, letters, digits, other signs, white space) and merges within
 each part. Parts are found here in numpy by the classes of their characters, and each distinct part goes to the library
-once, so that the ids are the library's own. A text with a character outside the ranges below goes to it as a whole, and
+once, so that the ids are the library's own. Parts are remembered by hashes, and their characters are compared wherever
+hashes agree, so a part never gets the ids of another. A text with a character outside the ranges below goes to it as a whole, and
 so does one with the literal of an added token, unless literals count as plain text.
 """
 
@@ -56,8 +57,9 @@ class Encoder:
 
     def _forget(self) -> None:
         self.keys, self.entry, self.count = np.zeros(0, np.uint64), np.zeros(0, np.int32), 0
-        self.at, self.size = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64)
+        self.at, self.size, self.begin, self.length = (np.zeros(1 << 12, np.int64) for _ in range(4))
         self.ids, self.used = np.zeros(1 << 14, np.int32), 0
+        self.text, self.filled = np.zeros(1 << 15, np.uint16), 0
 
     def _starts(self, points: np.ndarray, first: np.ndarray) -> np.ndarray:
         """Where the parts of the texts begin."""
@@ -100,28 +102,41 @@ class Encoder:
             begins[p[rest] + size[rest]] = True
         return np.flatnonzero(begins[:n])
 
-    def _learn(self, keys: np.ndarray, parts: list[str]) -> None:
-        """Remembers the ids of new parts; their keys are in order."""
+    def _learn(self, keys: np.ndarray, parts: list[str], points: np.ndarray, length: np.ndarray) -> np.ndarray:
+        """Remembers the ids of new parts, whose characters are given too, and returns their entries."""
         found = [e.ids for e in self.library.encode_batch_fast(parts, add_special_tokens=False)]
         size = np.fromiter(map(len, found), np.int64, len(found))
         total, k, n = int(size.sum()), self.count, len(keys)
         while k + n > len(self.at):
-            self.at, self.size = np.concatenate([self.at, np.zeros_like(self.at)]), np.concatenate([self.size, np.zeros_like(self.size)])
+            self.at, self.size, self.begin, self.length = (np.concatenate([x, np.zeros_like(x)]) for x in (self.at, self.size, self.begin, self.length))
         while self.used + total > len(self.ids):
             self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-        self.size[k : k + n] = size
+        while self.filled + len(points) + 4 > len(self.text):  # a block may be read beyond the last part
+            self.text = np.concatenate([self.text, np.zeros_like(self.text)])
+        self.size[k : k + n], self.length[k : k + n] = size, length
         self.at[k : k + n] = self.used + np.cumsum(size) - size
+        self.begin[k : k + n] = self.filled + np.cumsum(length) - length
         self.ids[self.used : self.used + total] = np.fromiter(chain.from_iterable(found), np.int32, total)
-        self.used, self.count = self.used + total, k + n
-        held = np.concatenate([self.keys, keys])
-        order = np.argsort(held, kind="stable")  # two runs in order
-        self.keys, self.entry = held[order], np.concatenate([self.entry, np.arange(k, k + n, dtype=np.int32)])[order]
-
-    def _known(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The entries of keys, and which of them are known."""
+        self.text[self.filled : self.filled + len(points)] = points
+        self.used, self.filled, self.count = self.used + total, self.filled + len(points), k + n
+        held, entry = np.concatenate([self.keys, keys]), np.arange(k, k + n, dtype=np.int32)
+        order = np.argsort(held, kind="stable")  # two runs in order, or nearly so
+        self.keys, self.entry = held[order], np.concatenate([self.entry, entry])[order]
+        return entry
+
+    def _known(self, keys: np.ndarray, eight: np.ndarray, start: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The entries of parts given by their keys and bytes, and which of them are known; equal keys alone do not count."""
+        if not len(self.keys):
+            return np.zeros(len(keys), np.int32), np.zeros(len(keys), bool)
         at = np.searchsorted(self.keys, keys)
         at[at == len(self.keys)] = 0
-        return (self.entry[at], self.keys[at] == keys) if len(self.keys) else (np.zeros(len(keys), np.int32), np.zeros(len(keys), bool))
+        entry = self.entry[at]
+        known = (self.keys[at] == keys) & (2 * self.length[entry] == length)
+        held = self.text.view(np.uint8)
+        held = np.ndarray((len(held) - 7,), "<u8", held, strides=(1,))
+        i = np.flatnonzero(known)
+        known[i[X.unlike(eight, start[i], 2 * self.begin[entry[i]], length[i], held)]] = False
+        return entry, known
 
     def _with_literals(self, whole: str, first: np.ndarray) -> np.ndarray:
         """Of each text, whether a literal begins in it."""
@@ -158,20 +173,19 @@ class Encoder:
         if len(points):
             start = self._starts(points, first)
             size = np.diff(np.append(start, len(points)))
-            with np.errstate(over="ignore"):
-                power = np.cumprod(np.full(int(size.max()), X.STEP))
-                value = _VALUE[points] * power[np.arange(len(points), dtype=np.int32) - np.repeat(start.astype(np.int32), size)]
-                key = X.mix(np.add.reduceat(value, start) + size.astype(np.uint64))
-            u, which, back = np.unique(key, return_index=True, return_inverse=True)
-            entry, known = self._known(u)
-            if not known.all() and self.count + len(u) - int(known.sum()) > REMEMBER:
+            points = points.astype(np.uint16)
+            eight, begin, width = X.eights(points.view(np.uint8)), 2 * start, 2 * size
+            key = X.run_hashes(eight, begin, width)
+            which, back = X.representatives(eight, begin, width, key)
+            entry, known = self._known(key[which], eight, begin[which], width[which])
+            if not known.all() and self.count + len(which) - int(known.sum()) > REMEMBER:
                 self._forget()
                 known[:] = False
             if not known.all():
                 new = which[~known]
-                at = start[new]
-                self._learn(u[~known], [whole[a:b] for a, b in zip(at.tolist(), (at + size[new]).tolist(), strict=True)])
-                entry = self._known(u)[0]
+                at, n_points = start[new], size[new]
+                place = np.arange(n_points.sum()) + np.repeat(at - (np.cumsum(n_points) - n_points), n_points)
+                entry[~known] = self._learn(key[new], [whole[a:b] for a, b in zip(at.tolist(), (at + n_points).tolist(), strict=True)], points[place], n_points)
             entry = entry[back]
             times = self.size[entry]
             place = np.arange(times.sum()) + np.repeat(self.at[entry] - (np.cumsum(times) - times), times)
@@ -186,9 +200,6 @@ class Encoder:
         return ids, count
 
 
-_VALUE = np.random.default_rng(0x51D5).integers(1, 2**63, LIMIT + 1, dtype=np.uint64) * X.U64(2) + X.U64(1)
-
-
 @lru_cache(maxsize=2)
 def load(path: str, plain: bool = True) -> Encoder:
     return Encoder(path, plain)

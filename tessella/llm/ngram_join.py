@@ -8,18 +8,21 @@ can't be shared). Candidates come from the prefixes under the first order, must
 other two and a bitmap bound on the symmetric difference, and before the overlap is counted their exact prefixes under
 the other two orders are intersected.
 
-What grows with the data is exchanged by hash ranges: tokens travel as sorted 56-bit keys in packed blocks. Frequencies
+What grows with the data is exchanged by hash ranges: tokens travel as sorted 64-bit keys in packed blocks. Frequencies
 are of all documents. Within the list of a token, up to `SMALL` classes are paired fully; of a longer list, at first only
 neighbours in order of size and a hub are paired, and after the components of these links are known, only classes of
-different components are compared, in blocks of bounded size. Links inside a component can't change it, so none is lost.
+different components are compared: those outside the list's largest component with each other and with it, in blocks of
+bounded size and of sizes that can reach the threshold. Links inside a component can't change it, so none is lost.
 
 Defined cases: null, empty and blank texts have an empty set, 0 shingles and are linked with nothing; a text with fewer
 than n words has its whole sequence as one shingle; equal rows belong to one class; extra columns are ignored.
-Two sets are taken as equal when their 64-bit sums agree.
+Tokens are 64-bit hashes of words' bytes (see _text). Sets are taken as equal when sums of 128 bits agree: where the first
+64 do and the others do not, classes are named by both.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,7 +41,8 @@ BLOCK = 2048
 #: Tokens that a task gathers before it sends them, in all and for each bucket: packed rows are not to be nearly empty.
 FLUSH, FLUSH_BUCKET = 2_000_000, 16
 WORDS = 8  # 64-bit words of the bitmap of a set
-SHIFT = np.uint64(8)
+#: Different sets whose first 64 bits agree, at most; about n * n / 2**65 of n sets are expected, some dozens of 10**11.
+CLASHES = 1_000_000
 
 
 def shingle_sets(data: np.ndarray, off: np.ndarray, k: int, lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
@@ -50,9 +54,8 @@ def shingle_sets(data: np.ndarray, off: np.ndarray, k: int, lower: bool = True)
     d = doc[at]
     few = np.flatnonzero((words.count > 0) & (words.count < k))
     if len(few):
-        with np.errstate(over="ignore"):
-            whole = [X.mix(np.array([(h[a:b] * X.PLACE[: b - a]).sum() + X.U64(b - a)], np.uint64))[0] for a, b in zip(words.first[few], words.first[few + 1], strict=True)]
-        key, d = np.concatenate([key, np.array(whole, np.uint64)]), np.concatenate([d, few])
+        whole = X.run_hashes(X.eights(h.view(np.uint8)), 8 * words.first[few], 8 * words.count[few])
+        key, d = np.concatenate([key, whole]), np.concatenate([d, few])
     order = np.lexsort((key, d))
     key, d = key[order], d[order]
     new = np.ones(len(key), bool)
@@ -60,15 +63,21 @@ def shingle_sets(data: np.ndarray, off: np.ndarray, k: int, lower: bool = True)
     return d[new], key[new]
 
 
-def _signatures(doc: np.ndarray, key: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Size and signature of each text's set; sets that are equal have equal signatures. Empty sets: size 0."""
+def _signatures(doc: np.ndarray, key: np.ndarray, n: int, odd: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Size of each text's set and two signatures of it, which equal sets share. Empty sets: size 0. Where the first one is
+    in `odd`, it is taken together with the second."""
     size = np.bincount(doc, minlength=n)
     first = np.concatenate([[0], np.cumsum(size)])
-    total = np.zeros(len(key) + 1, np.uint64)
-    with np.errstate(over="ignore"):
-        np.cumsum(X.mix(key ^ X.STEP), out=total[1:])
-        sums = total[first[1:]] - total[first[:-1]]
-        return size, X.mix(sums + size.astype(np.uint64) * X.STEP)
+    out = []
+    for kind in X.KIND:
+        total = np.zeros(len(key) + 1, np.uint64)
+        with np.errstate(over="ignore"):
+            np.cumsum(X.mix(key + kind), out=total[1:])
+            out.append(X.mix(total[first[1:]] - total[first[:-1]] + size.astype(np.uint64) * kind))
+    sig, check = out
+    if odd is not None and len(odd):
+        sig = np.where(np.isin(sig, odd), sig ^ check, sig)
+    return size, sig, check
 
 
 def _sets(k: int):
@@ -77,8 +86,8 @@ def _sets(k: int):
             data, off = X.utf8(batch.column("text"))
             parts = [_signatures(*shingle_sets(d, o, k), b - a) for a, b, d, o in X.chunks(data, off)]
             if parts:
-                size, sig = (np.concatenate(x) for x in zip(*parts, strict=True))
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(size, pa.int64()), pa.array(sig.view(np.int64), mask=size == 0)], names=["doc_id", "n_shingles", "class"])
+                size, sig, check = (np.concatenate(x) for x in zip(*parts, strict=True))
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(size, pa.int64()), *[pa.array(x.view(np.int64), mask=size == 0) for x in (sig, check)]], names=["doc_id", "n_shingles", "class", "check"])
 
     return run
 
@@ -97,7 +106,7 @@ def _send(buckets: int, sig: np.ndarray, size: np.ndarray, item: np.ndarray, key
         out["sigs"].append(sig[used].tobytes())
         out["sizes"].append(S.planes(size[used].astype(np.uint32)))
         out["items"].append(S.planes(mark[i].astype(np.uint32)))
-        out["keys"].append(S.deltas(x >> SHIFT))
+        out["keys"].append(S.deltas(x))
         out["extra"].append(b"")
     if out["bucket"]:
         yield pa.RecordBatch.from_arrays([pa.array(out["bucket"], pa.int32()), *[pa.array(out[n], pa.binary()) for n in ("sigs", "sizes", "items", "keys", "extra")]], names=list(out))
@@ -106,7 +115,7 @@ def _send(buckets: int, sig: np.ndarray, size: np.ndarray, item: np.ndarray, key
 SENT = "bucket int, sigs binary, sizes binary, items binary, keys binary, extra binary"
 
 
-def _tokens(k: int, buckets: int):
+def _tokens(k: int, buckets: int, odd: np.ndarray):
     """Sends every class's tokens to the ranges of their hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -125,7 +134,7 @@ def _tokens(k: int, buckets: int):
             data, off = X.utf8(batch.column("text"))
             for a, b, d, o in X.chunks(data, off):
                 doc, key = shingle_sets(d, o, k)
-                size, sig = _signatures(doc, key, b - a)
+                size, sig, _ = _signatures(doc, key, b - a, odd)
                 base = sum(len(x[2]) for x in held)
                 held.append((doc + base, key, size, sig))
                 size_held += len(key)
@@ -298,7 +307,7 @@ def _postings(buckets: int):
             order = np.argsort(key)
             key, item = key[order], item[order]
             out = []
-            for b, lo, hi in S.bounds(key << SHIFT, buckets):
+            for b, lo, hi in S.bounds(key, buckets):
                 used, local = np.unique(item[lo:hi], return_inverse=True)
                 out.append((b, sig[used].tobytes(), np.stack([n[used], m[used]]).astype(np.int32).tobytes(), local.astype(np.uint32).tobytes(), key[lo:hi].tobytes(), b"".join(bits[i] for i in used)))
             yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int32()), *[pa.array([x[j] for x in out], pa.binary()) for j in range(1, 6)]], schema=_SENT)
@@ -385,7 +394,7 @@ def _cross_links(percent: int):
         own, sig, n, m, root = (np.asarray(table.column(c), np.int64) for c in ("own", "class", "n", "m", "root"))
         bits = np.frombuffer(b"".join(table.column("bits").to_pylist()), np.uint64).reshape(-1, BITS // 8)
         tokens = table.column("tokens").to_pylist()
-        lo_block, hi_block = table.column("lo")[0].as_py(), table.column("hi")[0].as_py()
+        one = table.column("one")[0].as_py()
         parent = np.unique(root, return_inverse=True)[1].tolist()
         at_root = np.array(parent)
         parent = list(range(len(parent)))
@@ -397,10 +406,10 @@ def _cross_links(percent: int):
             return x
 
         order = np.argsort(n, kind="stable")
-        left, right = order[own[order] == lo_block], order[own[order] == hi_block]
+        left, right = order[own[order] == 0], order if one else order[own[order] == 1]
         sizes, out = n[right], []
         for i in left.tolist():
-            least = n[i] if lo_block == hi_block else -(-percent * n[i] // 100)
+            least = n[i] if one else -(-percent * n[i] // 100)
             j = right[int(np.searchsorted(sizes, least, "left")) : int(np.searchsorted(sizes, 100 * n[i] // percent, "right"))]
             j = j[root[j] != root[i]]
             if len(j):
@@ -420,10 +429,10 @@ def _links(pairs: DataFrame, records: DataFrame, percent: int) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", "n", "tokens", "n2", "tokens2").mapInArrow(_verified(percent), "a long, b long")
 
 
-def class_links(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
+def class_links(docs: DataFrame, k: int = 5, percent: int = 80, odd: np.ndarray | None = None) -> DataFrame:
     """(a, b): links between classes of equal sets that join the same classes as all links at `percent` or more do."""
     n = 2 * S.partitions(docs)
-    tokens = docs.select("text").mapInArrow(_tokens(k, n), SENT)
+    tokens = docs.select("text").mapInArrow(_tokens(k, n, np.zeros(0, np.uint64) if odd is None else odd), SENT)
     shared = tokens.groupBy("bucket").applyInArrow(S.frugal(_shared(n)), SENT)
     records = S.table(shared.groupBy("bucket").applyInArrow(S.frugal(_records(percent)), RECORD))
     del tokens, shared
@@ -437,31 +446,46 @@ def class_links(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
         S.drop(records)
         return links
     roots = components(links).withColumnRenamed("node", "class")
-    listed = records.select("class", "prefix").mapInArrow(_exploded, "class long, token long").join(heavy, "token").join(roots, "class", "left").withColumn("root", F.coalesce("root", "class"))
-    listed = S.cut(listed)
-    several = listed.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("token")
-    blocks = F.ceil(F.col("length") / BLOCK).cast("int")
-    tasks = (
-        listed.join(several, "token")
-        .join(records.select("class", "n", "m", "bits", "tokens"), "class")
-        .withColumn("own", F.pmod(F.xxhash64("class"), blocks).cast("int"))
-        .withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-        .withColumn("lo", F.least("own", "other"))
-        .withColumn("hi", F.greatest("own", "other"))
-        .drop("other", "length")
-    )
-    more = tasks.groupBy("token", "lo", "hi").applyInArrow(S.frugal(_cross_links(percent)), "a long, b long")
-    more = S.cut(more)
+    listed = records.select("class", "n", "prefix").mapInArrow(_exploded, "class long, n int, token long")
+    listed = S.looked_up(S.cut(listed), heavy, "token", "length", inner=True).join(roots, "class", "left").withColumn("root", F.coalesce("root", "class"))
+    more = S.cut(_blocks(S.cut(listed), records, percent).groupBy("task").applyInArrow(S.frugal(_cross_links(percent)), "a long, b long"))
     S.drop(records)
     return links.unionByName(more)
 
 
+def _blocks(listed: DataFrame, records: DataFrame, percent: int) -> DataFrame:
+    """Pairs of blocks of the classes of a long list, as rows (task, one: whether the blocks are the same, own: 0 or 1, and
+    the class's root and record).
+
+    Classes of the list's largest component lie in blocks that meet only blocks of others. A block holds sizes of one band,
+    which is so wide that classes more than one band apart can't reach the threshold.
+    """
+    by_root = listed.groupBy("token", "root").agg(F.count("*").alias("c"))
+    per = by_root.groupBy("token").agg(F.max(F.struct("c", "root"))["root"].alias("main"), F.count("*").alias("roots"), F.sum("c").alias("length")).filter("roots > 1").drop("roots")
+    band = F.floor(F.log(F.col("n").cast("double")) / (1.001 * math.log(100 / percent))).cast("int") if percent < 100 else F.col("n")
+    sided = S.looked_up(listed, per, "token", "length", inner=True).withColumn("side", (F.col("root") == F.col("main")).cast("int")).withColumn("band", band)
+    shape = S.cut(sided.groupBy("token", "side", "band").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"), F.count("*").alias("rows")))
+    left = shape.filter("side = 0").select("token", F.col("band").alias("band0"), F.col("blocks").alias("blocks0"))
+    right = shape.select("token", "side", F.col("band").alias("band1"), F.col("blocks").alias("blocks1"))
+    # each pair of bands once: others with others upwards, others with the main component both ways
+    meets = left.join(right, "token").filter("(side = 0 and band1 in (band0, band0 + 1)) or (side = 1 and abs(band1 - band0) <= 1)")
+    tasks = meets.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks0") - 1)).alias("i")).select("*", F.explode(F.sequence(F.lit(0), F.col("blocks1") - 1)).alias("j"))
+    tasks = tasks.filter("side = 1 or band1 > band0 or j >= i").withColumn("one", F.expr("side = 0 and band1 = band0 and i = j"))
+    tasks = S.cut(tasks.select("token", F.col("band0"), "i", "side", "band1", "j", "one", F.xxhash64("token", "band0", "i", "side", "band1", "j").alias("task")))
+    ends = tasks.select("token", F.lit(0).alias("side"), F.col("band0").alias("band"), F.col("i").alias("block"), F.lit(0).alias("own"), "one", "task").unionByName(
+        tasks.filter("not one").select("token", "side", F.col("band1").alias("band"), F.col("j").alias("block"), F.lit(1).alias("own"), "one", "task")
+    )
+    dealt = S.looked_up(sided.drop("length"), shape.withColumn("part", F.xxhash64("token", "side", "band")).select("part", "blocks", "rows"), "part", "rows", inner=True, made=F.xxhash64("token", "side", "band"))
+    dealt = dealt.withColumn("block", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int")).select("class", "root", "token", "side", "band", "block")
+    return dealt.join(ends, ["token", "side", "band", "block"]).select("task", "one", "own", "class", "root").join(records.select("class", "n", "m", "bits", "tokens"), "class")
+
+
 def _exploded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         prefix = [np.frombuffer(x, np.int64) for x in batch.column("prefix").to_pylist()]
         at = pa.array(np.repeat(np.arange(len(prefix)), [len(x) for x in prefix]))
         token = pa.array(np.concatenate(prefix) if prefix else np.zeros(0, np.int64))
-        yield pa.RecordBatch.from_arrays([batch.column("class").take(at), token], names=["class", "token"])
+        yield pa.RecordBatch.from_arrays([batch.column("class").take(at), batch.column("n").take(at), token], names=["class", "n", "token"])
 
 
 def groups(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
@@ -470,17 +494,23 @@ def groups(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     class_id is the smallest doc_id with an equal set, component_id the smallest one reachable by links. Both are the
     row's own doc_id where the set is empty.
     """
-    links = class_links(docs, k, percent)
-    S.release()
-    own = docs.select("doc_id", "text").mapInArrow(_sets(k), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_shingles long, class long")
+    own = docs.select("doc_id", "text").mapInArrow(_sets(k), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_shingles long, class long, check long")
     own = S.cut(own)
-    classes = own.filter("class is not null").groupBy("class").agg(F.min("doc_id").alias("class_id"))
-    roots = components(links)
+    clash = own.filter("class is not null").groupBy("class").agg(F.min("check").alias("lo"), F.max("check").alias("hi")).filter("lo <> hi").select("class")
+    odd = [r[0] for r in clash.limit(CLASHES + 1).collect()]
+    if len(odd) > CLASHES:
+        raise ValueError("too many different sets share a signature")
+    if odd:
+        own = own.withColumn("class", F.when(F.col("class").isin(odd), F.col("class").bitwiseXOR(F.col("check"))).otherwise(F.col("class")))
+    links = class_links(docs, k, percent, np.array(odd, np.int64).view(np.uint64))
+    S.release()
+    classes = own.filter("class is not null").groupBy("class").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("copies"))
+    rooted = S.cut(classes.join(components(links).withColumnRenamed("node", "class"), "class", "left"))
     S.release()
-    rooted = classes.join(roots.withColumnRenamed("node", "class"), "class", "left").withColumn("root", F.coalesce("root", "class"))
-    least = rooted.groupBy("root").agg(F.min("class_id").alias("component_id"))
-    named = rooted.join(least, "root").select("class", "class_id", "component_id")
-    return own.join(named, "class", "left").select("doc_id", "n_shingles", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    least = S.cut(rooted.filter("root is not null").groupBy("root").agg(F.min("class_id").alias("component_id"), F.count("*").alias("classes")))
+    named = S.looked_up(rooted, least, "root", "classes").select("class", "class_id", F.coalesce("component_id", "class_id").alias("component_id"), "copies")
+    found = S.looked_up(own.select("doc_id", "n_shingles", "class"), S.cut(named), "class", "copies")
+    return found.select("doc_id", "n_shingles", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -251,13 +251,11 @@ class Model:
         with np.errstate(over="ignore"):
             base = X.mix(drawn + X.U64(seed) * X.STEP)
             salt = X.mix(base[text] + ordinal.astype(np.uint64))
-            power = np.cumprod(np.full(int(seg_size.max()), X.STEP))
-            at = np.arange(total) - np.repeat(seg_at, seg_size)
-            value = X.mix(code.astype(np.uint64) + X.U64(1)) * power[at]
-            key = X.mix(np.add.reduceat(value, seg_at) + seg_size.astype(np.uint64))
+        eight = X.eights(code.view(np.uint8))
+        which, back = X.representatives(eight, 4 * seg_at, 4 * seg_size, X.run_hashes(eight, 4 * seg_at, 4 * seg_size))
+        often = np.bincount(back, minlength=len(which))
         # what is no piece stands for its bytes: it keeps its code point, negative, and merges with nothing
         raw = np.where(symbol >= 0, symbol, -2 - code.astype(np.int64).astype(np.int32))
-        _, which, back, often = np.unique(key, return_index=True, return_inverse=True, return_counts=True)
         if dropout > 0:
             shared = (often >= SHARED) & (seg_size[which] <= LONG)
             met: list = []

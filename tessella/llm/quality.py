@@ -2,7 +2,8 @@
 
 Rolling hashes of word windows of several lengths are taken over many texts at once in numpy. A text's coverage at a
 length is the share of its word characters that lie in windows which occur twice or more in the text, and its line
-coverage the share of characters in lines equal to an earlier line.
+coverage the share of characters in lines equal to an earlier line. Hashes only propose that words, windows and lines are
+equal: their bytes are compared.
 
 Defined cases: a null text is an empty one; a text without words has zero counts, fails the base rule (too few words)
 and is not kept; ties do not matter; repeated rows give repeated results; extra columns are ignored by `measure` and kept by `keep`.
@@ -50,20 +51,39 @@ def _lines(data: np.ndarray, off: np.ndarray, text_points: np.ndarray) -> tuple[
     if not len(start):
         z = np.zeros(len(off) - 1, np.int64)
         return z, z, z
-    length = stop - start
-    place = np.arange(length.sum()) - np.repeat(np.cumsum(length) - length, length)
-    with np.errstate(over="ignore"):
-        power = np.cumprod(np.full(int(length.max()), X.STEP))
-        value = X.BYTE[data[place + np.repeat(start, length)]] * power[place]
-        key = X.mix(np.add.reduceat(value, np.cumsum(length) - length) + length.astype(np.uint64)) ^ X.mix(doc.astype(np.uint64) + X.U64(1))
-    order = np.argsort(key, kind="stable")
-    later = np.zeros(len(key), bool)
-    later[order[1:]] = key[order[1:]] == key[order[:-1]]
+    eight, length = X.eights(data), stop - start
+    kind = X.alike(eight, start, length, X.run_hashes(eight, start, length))
+    order = np.lexsort((kind, doc))
+    later = np.zeros(len(kind), bool)
+    later[order[1:]] = (kind[order[1:]] == kind[order[:-1]]) & (doc[order[1:]] == doc[order[:-1]])
     points = text_points[stop] - text_points[start]
     size = len(off) - 1
     return np.bincount(doc[later], minlength=size), np.bincount(doc[later], points[later], size).astype(np.int64), np.bincount(doc, points, size).astype(np.int64)
 
 
+def _equal_windows(ids: np.ndarray, first: np.ndarray, doc: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The windows of k words, given by their first words, with equal ones of a text next to each other in their order;
+    and of each but the first whether it equals the one before, word for word. ids: equal for equal words only."""
+    key, at = X.windows(X.mix(ids.astype(np.uint64) + X.U64(1)), first, k)
+    key = key ^ X.mix(doc[at] + X.U64(1))
+    order = np.argsort(key, kind="stable")
+    at, key = at[order], key[order]
+    same = key[1:] == key[:-1]
+    for a in range(0, len(same), 1 << 18):
+        i = a + np.flatnonzero(same[a : a + (1 << 18)])
+        fine = doc[at[i]] == doc[at[i + 1]]
+        for j in range(k):
+            fine &= ids[at[i] + j] == ids[at[i + 1] + j]
+        if not fine.all():  # the hash has failed, so words are compared instead
+            order = np.lexsort((at, *[ids[at + j] for j in range(k)], doc[at]))
+            at = at[order]
+            same = doc[at[1:]] == doc[at[:-1]]
+            for j in range(k):
+                same &= ids[at[1:] + j] == ids[at[:-1] + j]
+            break
+    return at, same
+
+
 def _measure(data: np.ndarray, off: np.ndarray) -> list[np.ndarray]:
     words = X.Words(data, off)
     points, doc, n = words.points(), words.text_of().astype(np.uint64), len(words.start)
@@ -71,18 +91,15 @@ def _measure(data: np.ndarray, off: np.ndarray) -> list[np.ndarray]:
     head = np.zeros(len(data) + 1, np.int64)
     np.cumsum((data & 0xC0) != 0x80, out=head[1:])
     dup_lines, dup_chars, line_chars = _lines(data, off, head)
-    hashes = words.hashes()
+    ids = words.ids()
     repeat_words, repeat_chars = np.zeros(len(off) - 1, np.int64), []
     for k in LENGTHS:
-        key, at = X.windows(hashes, words.first, k)
-        key = key ^ X.mix(doc[at] + X.U64(1))
-        order = np.argsort(key, kind="stable")
-        same = key[order[1:]] == key[order[:-1]] if len(key) > 1 else np.zeros(0, bool)
+        order, same = _equal_windows(ids, words.first, doc, k)
         later = order[1:][same]
         if k == LENGTHS[0]:
             every = np.union1d(later, order[:-1][same])
-            repeat_words = X.sums(X.covered(n, at[every], k), words.first)
-        repeat_chars.append(X.sums(np.where(X.covered(n, at[later], k), points, 0), words.first))
+            repeat_words = X.sums(X.covered(n, every, k), words.first)
+        repeat_chars.append(X.sums(np.where(X.covered(n, later, k), points, 0), words.first))
     return [words.count, X.sums(points, words.first), X.sums(symbol, off), dup_lines, repeat_words, dup_chars, line_chars, *repeat_chars]
 
 

@@ -7,7 +7,8 @@ are judged on the input, not on what is left.
 
 Defined cases: null, empty and blank texts have no words; texts shorter than LENGTH words lose nothing; rows with equal
 doc_id never remove each other's words; a null doc_id counts as smaller than all others; extra columns stay as they are.
-Words are compared by 64-bit hashes, contexts of anchors by 32 bits of each of their words.
+Words are compared by 64-bit hashes of their bytes: two windows count as equal if all of their 13 words agree in them;
+contexts that are settled without being sent agree in 128 bits more.
 """
 
 from __future__ import annotations
@@ -30,9 +31,10 @@ LENGTH, SEED = 13, 4
 CHUNK = 2 << 20
 
 
-def _words(data: np.ndarray, off: np.ndarray) -> A.Sequence:
+def _words(data: np.ndarray, off: np.ndarray, k: int) -> A.Sequence:
     words = X.Words(data, off)
-    return A.Sequence(words.hashes(), words.first)
+    h = words.hashes()
+    return A.Sequence(X.grams(h, k), X.eights(h.view(np.uint8)), 8, words.first)
 
 
 def _send_contexts(length: int, seed: int, buckets: int):
@@ -53,12 +55,16 @@ def _send_contexts(length: int, seed: int, buckets: int):
             lo, hi = np.searchsorted(row, [a, b])
             words = X.Words(d, o)
             h = words.hashes()
-            seq = A.Sequence(h, words.first)
-            at = seq.first[row[lo:hi] - a] + place[lo:hi]
-            _, left, right = seq.contexts(at, seed, w)
-            around = at[:, None] + np.arange(1 - w, seed + w - 1)
-            word = (h[np.clip(around, 0, len(h) - 1)] >> X.U64(32)).astype(np.uint32) if len(h) else np.zeros((0, 2 * w + seed - 2), np.uint32)
-            for to, v in zip(parts, (own[row[lo:hi]], doc[row[lo:hi]], seq.hashes(at, at + seed), place[lo:hi], left, right, word), strict=True):
+            first = words.first.astype(np.int64)
+            at = first[row[lo:hi] - a] + place[lo:hi]
+            left, right = np.minimum(place[lo:hi], w - 1), np.minimum(first[row[lo:hi] - a + 1] - at - seed, w - 1)
+            step = np.arange(1 - w, seed + w - 1)
+            around = at[:, None] + step
+            word = np.zeros(around.shape, np.uint64)
+            inside = (step >= -left[:, None]) & (step < seed + right[:, None])
+            word[inside] = h[around[inside]]
+            gram = X.run_hashes(X.eights(h.view(np.uint8)), 8 * at, np.full(len(at), 8 * seed))
+            for to, v in zip(parts, (own[row[lo:hi]], doc[row[lo:hi]], gram, place[lo:hi], left, right, word), strict=True):
                 to.append(v)
         if not parts[0]:
             return A.no_rows(_CONTEXTS)
@@ -67,7 +73,7 @@ def _send_contexts(length: int, seed: int, buckets: int):
         out = []
         for b, lo, hi in S.bounds(key[order], buckets):
             i = order[lo:hi]
-            out.append((b, r[i].tobytes(), doc[i].tobytes(), (key[i] >> A.SHIFT).tobytes(), place[i].astype(np.uint32).tobytes(), left[i].astype(np.uint8).tobytes(), right[i].astype(np.uint8).tobytes(), word[i].tobytes()))
+            out.append((b, r[i].tobytes(), doc[i].tobytes(), key[i].tobytes(), place[i].astype(np.uint32).tobytes(), left[i].astype(np.uint8).tobytes(), right[i].astype(np.uint8).tobytes(), word[i].tobytes()))
         return pa.Table.from_arrays([pa.array([x[j] for x in out], f.type) for j, f in enumerate(_CONTEXTS)], schema=_CONTEXTS)
 
     return run
@@ -77,12 +83,28 @@ CONTEXTS = "bucket int, rows binary, ids binary, keys binary, places binary, lef
 _CONTEXTS = pa.schema([("bucket", pa.int32()), *[(n, pa.binary()) for n in ("rows", "ids", "keys", "places", "lefts", "rights", "words")]])
 
 
+def _runs(key: np.ndarray, doc: np.ndarray, word: np.ndarray, at: np.ndarray, place: slice) -> tuple[np.ndarray, np.ndarray]:
+    """The order of runs word[at, place] in which equal ones are together, by doc, and where others begin. Equal keys only
+    propose equal runs: the hashes of all their words are compared."""
+    order = np.lexsort((doc, key))
+    new = np.ones(len(order), bool)
+    new[1:] = key[order[1:]] != key[order[:-1]]
+    same = np.flatnonzero(~new)
+    for a in range(0, len(same), 1 << 16):
+        i = same[a : a + (1 << 16)]
+        if (word[at[order[i]], place] != word[at[order[i - 1]], place]).any():
+            order = np.lexsort((doc, *word[at, place].T))
+            new[1:] = (word[at[order[1:]], place] != word[at[order[:-1]], place]).any(axis=1)
+            break
+    return order, new
+
+
 def _extend(length: int, seed: int, blocks: int):
     """Round two, at a range of seeds: extends each context to both sides and replies the runs that a smaller doc_id has too."""
     w = length - seed + 1
 
     def run(table: pa.Table) -> pa.Table:
-        kinds = {"rows": np.int64, "ids": np.int64, "keys": np.uint64, "places": np.uint32, "lefts": np.uint8, "rights": np.uint8, "words": np.uint32}
+        kinds = {"rows": np.int64, "ids": np.int64, "keys": np.uint64, "places": np.uint32, "lefts": np.uint8, "rights": np.uint8, "words": np.uint64}
         row, doc, key, place, left, right, word = (np.concatenate([np.frombuffer(x, t) for x in table.column(n).to_pylist()]) for n, t in kinds.items())
         word, place = word.reshape(-1, 2 * w + seed - 2), place.astype(np.int64)
         # Extension to the left and to the right by j words: hashes of the words in between, from the seed outwards.
@@ -95,10 +117,9 @@ def _extend(length: int, seed: int, blocks: int):
             for j in range(w):
                 at = np.flatnonzero((left >= j) & (right >= w - 1 - j))
                 run_key = lefts[j][at] ^ X.mix(rights[w - 1 - j][at] + X.U64(j))
-                order = np.lexsort((doc[at], run_key))
-                k, d = run_key[order], doc[at][order]
-                new = np.append(True, k[1:] != k[:-1]) if len(k) else np.zeros(0, bool)
-                first = d[new][np.cumsum(new) - 1] if len(k) else d
+                order, new = _runs(run_key, doc[at], word, at, slice(w - 1 - j, w - 1 - j + length))
+                d = doc[at][order]
+                first = d[new][np.cumsum(new) - 1] if len(d) else d
                 hit = at[order[d > first]]
                 rows.append(row[hit])
                 starts.append(place[hit] - j)

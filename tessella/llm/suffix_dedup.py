@@ -6,8 +6,8 @@ at the same place. At each range of anchors a sparse suffix array is built: the
 reversed ones that precede it, are sorted within the anchor's group by _suffix.sort. From the common prefixes of both
 orders follows, for each place at which a string of LENGTH bytes can lie over the anchor, which documents share it.
 
-Anchors with equal contexts (LENGTH - SEED bytes to either side) are settled by a 64-bit hash and one of them stands for
-all in the sorting, so that thousands of copies cost one suffix.
+Anchors with equal contexts (LENGTH - SEED bytes to either side) are found by hashes of 128 bits, and one of them stands
+for all in the sorting, so that thousands of copies cost one suffix.
 
 Defined cases: a null text is empty; texts shorter than LENGTH bytes lose nothing; repeated rows hold the same strings
 and lose them all; a removed run may end within a character, so what is left is binary; extra columns stay as they are.
@@ -34,8 +34,9 @@ CONTEXTS = "bucket int, rows binary, keys binary, places binary, lefts binary, r
 _CONTEXTS = pa.schema([("bucket", pa.int32()), *[(n, pa.binary()) for n in ("rows", "keys", "places", "lefts", "rights", "texts")]])
 
 
-def _bytes(data: np.ndarray, off: np.ndarray) -> A.Sequence:
-    return A.Sequence(X.BYTE[data], off)
+def _bytes(data: np.ndarray, off: np.ndarray, k: int) -> A.Sequence:
+    eight = X.eights(data)
+    return A.Sequence(A.byte_grams(eight, len(data), k), eight, 1, off)
 
 
 def _send_contexts(length: int, seed: int, buckets: int):
@@ -54,9 +55,7 @@ def _send_contexts(length: int, seed: int, buckets: int):
         data, off = X.utf8(docs.column("text"))
         at = off[row] + place
         left, right = np.minimum(place, w - 1), np.minimum(off[row + 1] - at - seed, w - 1)
-        gram = data[at[:, None] + np.arange(seed)]
-        with np.errstate(over="ignore"):
-            key = X.mix((X.BYTE[gram] * np.cumprod(np.full(seed, X.STEP))).sum(axis=1, dtype=np.uint64))
+        key = X.run_hashes(X.eights(data), at, np.full(len(at), seed))
         own, out, buffer = docs.column("key").to_numpy(), [], data.tobytes()
         order = np.argsort(key)
         lo_at, hi_at = at - left, at + seed + right
@@ -120,7 +119,8 @@ def _extend(length: int, seed: int, blocks: int):
         text = np.concatenate([np.frombuffer(x, np.uint8) for x in table.column("texts").to_pylist()])
         size = left + seed + right
         at = np.cumsum(size) - size + left
-        low, high = shared_runs(text, at, left, right, np.unique(key, return_inverse=True)[1], length, seed)
+        group = X.alike(X.eights(text), at, np.full(len(at), seed), key)
+        low, high = shared_runs(text, at, left, right, group, length, seed)
         hit = np.flatnonzero(high >= 0)
         return A.reply(blocks, 2, row[hit], place[hit] - high[hit], place[hit] - low[hit] + length)
 
