@@ -4,9 +4,14 @@ Vectors are dealt to blocks of bounded size, and each block of queries meets eac
 the vectors are quantised to int8 and their products taken as one matrix; what quantising leaves bounds every product
 from both sides. A candidate stays in the tile if its upper bound reaches the k-th largest lower bound, so nothing that
 belongs to the k nearest is lost. Products of the pairs that stay are computed anew in double precision, and heaps merge
-the k nearest of the tiles, a bounded number of tiles at a time.
+the k nearest of the tiles, a bounded number of tiles at a time. Before quantising, each vector is scaled by a power of
+two, which changes no digit of it; bounds are scaled back, so vectors of every finite magnitude take part.
 
-Defined cases: vectors that are null, empty or zero, or hold null or non-finite components, take no part, nor do rows
+Vectors travel in their own type and are recomputed within the tile: ties (copies of one vector) are decided there by
+vec_id, so a tile never returns more than k candidates of a query.
+
+Defined cases: a product that overflows on the way, though its terms are finite, is that of the scaled vectors, scaled
+back, which may be infinite; vectors that are null, empty or zero, or hold null or non-finite components, take no part, nor do rows
 without a vec_id; only vectors of equal length are compared; a query's own vec_id is no candidate, and of several
 queries with one vec_id the least vector counts; equal products go to the smaller vec_id; extra columns are ignored.
 """
@@ -29,45 +34,81 @@ _CELLS = 2_000_000
 
 def usable(vectors: DataFrame, column: str = "embedding") -> DataFrame:
     """(vec_id, vector) of the rows that take part."""
-    v = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col(column).cast("array<double>").alias("vector"))
+    element = vectors.schema[column].dataType.elementType.simpleString()
+    v = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col(column).cast("array<float>" if element == "float" else "array<double>").alias("vector"))
     fine = F.forall("vector", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
     return v.filter(F.col("vec_id").isNotNull() & F.col("vector").isNotNull()).filter(fine & F.exists("vector", lambda x: x != 0))
 
 
+def scaled(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows scaled by powers of two so that the largest component lies in [0.5, 1), and the exponents that scale them back."""
+    exponent = np.frexp(np.abs(x).max(axis=1))[1].astype(np.int64)
+    # in two steps, as one power may be beyond what a number can hold
+    half = -exponent // 2
+    return np.ldexp(np.ldexp(x, half[:, None]), (-exponent - half)[:, None]), exponent
+
+
 def quantised(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """int8 values, their scale, the norm of what they stand for and the norm of what is lost, of each row."""
+    """int8 values, their scale, the norm of what they stand for and the norm of what is lost, of each row of scaled vectors."""
     scale = np.abs(x).max(axis=1) / 127
     q = np.rint(x / scale[:, None])
     about = q * scale[:, None]
     return q.astype(np.int8), scale, np.sqrt((about * about).sum(axis=1)), np.sqrt(((x - about) ** 2).sum(axis=1))
 
 
+def _sum(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    total = np.zeros(len(x))
+    with np.errstate(over="ignore", invalid="ignore"):
+        for d in range(x.shape[1]):
+            total += x[:, d] * y[:, d]
+    return total
+
+
 def products(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Inner products row by row, summed from the first component to the last in double precision."""
-    total = np.zeros(len(x))
-    for d in range(x.shape[1]):
-        total += x[:, d] * y[:, d]
+    total = _sum(x, y)
+    odd = np.flatnonzero(~np.isfinite(total))
+    if len(odd):
+        (a, e), (b, f) = scaled(x[odd]), scaled(y[odd])
+        with np.errstate(over="ignore"):
+            total[odd] = np.ldexp(_sum(a, b), e + f)
     return total
 
 
+#: Exponents up to which bounds can be scaled by plain factors.
+_PLAIN = 400
+
+
 def nearest_in_tile(qid: np.ndarray, q: np.ndarray, cid: np.ndarray, c: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(query, candidate, product) of each query's k nearest candidates, all of them if fewer."""
-    qi, qs, qn, qe = quantised(q)
-    ci, cs, cn, ce = quantised(c)
-    norm = np.sqrt((c * c).sum(axis=1))
+    (qx, qp), (cx, cp) = scaled(q), scaled(c)
+    qi, qs, qn, qe = quantised(qx)
+    ci, cs, cn, ce = quantised(cx)
+    norm = np.sqrt((cx * cx).sum(axis=1))
     left, right = qi.astype(np.float32), ci.astype(np.float32).T  # whole numbers, exact up to 1040 components
     exact = q.shape[1] * 127 * 127 < 1 << 24
+    plain = max(np.abs(qp).max(), np.abs(cp).max()) <= _PLAIN
+    power = np.ldexp(1.0, cp) if plain else None  # a query's own power changes no order
+    least_step = q.shape[1] * 5e-324  # what products lose below the smallest numbers
     out = []
     step = max(1, _CELLS // max(len(cid), 1))
     for a in range(0, len(qid), step):
         b = min(a + step, len(qid))
         dot = (left[a:b] @ right).astype(np.float64) if exact else qi[a:b].astype(np.float64) @ ci.T.astype(np.float64)
         about = dot * qs[a:b, None] * cs
-        bound = (qe[a:b, None] * norm + qn[a:b, None] * ce) * (1 + 1e-9) + 1e-12 * (1 + qn[a:b, None] * cn)
+        bound = (qe[a:b, None] * norm + qn[a:b, None] * ce) * (1 + 1e-9) + 1e-12 * q.shape[1] * (qn[a:b, None] + qe[a:b, None]) * (cn + ce)
+        low, high = about - bound, about + bound
+        if plain:
+            low *= power
+            high *= power
+        else:  # rounding to a number, or to none that can be held, keeps the order
+            exponent = qp[a:b, None] + cp
+            with np.errstate(over="ignore"):
+                low, high = np.ldexp(low, exponent) - least_step, np.ldexp(high, exponent) + least_step
         own = qid[a:b, None] == cid
-        low = np.where(own, -np.inf, about - bound)
+        low[own] = -np.inf
         least = np.partition(low, len(cid) - k, axis=1)[:, len(cid) - k] if len(cid) > k else np.full(b - a, -np.inf)
-        i, j = np.nonzero((about + bound >= least[:, None]) & ~own)
+        i, j = np.nonzero((high >= least[:, None]) & ~own)
         score = np.concatenate([products(q[a + i[s : s + 100_000]], c[j[s : s + 100_000]]) for s in range(0, len(i), 100_000)]) if len(i) else np.zeros(0)
         order = np.lexsort((cid[j], -score, i))
         i, j, score = i[order], j[order], score[order]

@@ -1,3 +1,6 @@
+import math
+from fractions import Fraction
+
 import duckdb
 import numpy as np
 import pytest
@@ -53,3 +56,29 @@ def test_sql_agrees_and_empty(spark):
     print("equal scores:", sum(g[3] == w[3] for g, w in zip(got, want, strict=True)), "of", len(want))
     v = nearest.usable(spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet")).limit(0)
     assert nearest.search(v, v).count() == 0
+
+
+def test_vectors_of_every_finite_magnitude_take_part(spark):
+    r = np.random.default_rng(7)
+    rows = [(0, [1e200, 2.0]), (1, [1e-323, 1e-323]), (2, [3.0, 4.0]), (3, [-1e300, 1e-300]), (4, [1e300, 1e300]), (20, [1e-320, -2e-320]), (40, [1.7e308, -1.7e308]), (60, [1e-200, 1e-200])]
+    rows += [(100 + i, (r.normal(size=2) * 10.0 ** r.uniform(-320, 300)).tolist()) for i in range(120)]
+    rows = [(i, v) for i, v in rows if any(v)]
+    v = nearest.usable(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    got = {}
+    for x in nearest.search(v, v.filter("vec_id % 20 = 0"), 20).collect():
+        got.setdefault(x.query_id, []).append((x.rank, x.vec_id, x.score))
+    big = [(i, [Fraction(x) for x in y]) for i, y in rows]
+    for i, q in big:
+        if i % 20:
+            continue
+        want = []
+        for j, c in big:
+            if j != i:
+                whole = inner([float(x) for x in q], [float(x) for x in c])
+                if not math.isfinite(whole):
+                    exact = sum(a * b for a, b in zip(q, c, strict=True))
+                    whole = math.inf if exact >= 2**1024 else -math.inf if exact <= -(2**1024) else float(exact)
+                want.append((-whole, j))
+        found = sorted(got[i])
+        assert [(n + 1, j) for n, (_, j) in enumerate(sorted(want)[:20])] == [x[:2] for x in found]
+        assert [x[2] for x in found] == pytest.approx([-s for s, _ in sorted(want)[:20]], rel=1e-12)
