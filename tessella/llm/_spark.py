@@ -12,13 +12,15 @@ from pyspark.sql import functions as F
 
 
 def shared(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or one set here where none is set (tests, local mode)."""
+    """The folder that all executors share: spark.checkpoint.dir, or in local mode, where all share one machine, one set here."""
     sc = spark.sparkContext
     at = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if not at:
         held = sc._jsc.sc().getCheckpointDir()
         if held.isDefined():
             return held.get()
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         at = "file:///tmp/tessella-shared"
     if not sc._jsc.sc().getCheckpointDir().isDefined():
         sc.setCheckpointDir(at)
@@ -83,6 +85,14 @@ def looked_up(rows: DataFrame, table: DataFrame, key: str, n: str, inner: bool =
     return a.unionByName(b).drop("_own", "_key")
 
 
+def free(columns: list[str], name: str) -> str:
+    """The name, with underscores after it where the columns have it already."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def planes(x: np.ndarray) -> bytes:
     """Bytes of an unsigned array, all first bytes first: long runs for Spark's codec where the upper bytes are small."""
     return np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.itemsize).T).tobytes()

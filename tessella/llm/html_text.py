@@ -6,9 +6,10 @@ it to its parent. Sum-product messages go up and down the tree once and give eac
 are the text. The weights are fitted by maximum likelihood, with the same messages, to labelled pages: `labelled_pages`
 lays out a fixed number of them at random from a seed, with known labels; others can be given.
 
-Defined cases: a null or empty page has the empty text; markup that never closes ends with the page, and hidden
-elements that close by themselves, or not within their parent, are empty; end tags without a
-start are passed over; repeated rows get equal texts; extra columns stay as they are.
+Defined cases: a null or empty page has the empty text; scripts and styles that never close go on to the page's end, and
+other hidden elements that close by themselves, or not within their parent, are empty; comments end as in HTML; end tags
+without a start are passed over; pages of any length are read whole, a batch of texts at a time; repeated rows get equal
+texts; extra columns stay as they are, and where one is called text, the result is text_.
 """
 
 from __future__ import annotations
@@ -26,6 +27,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tessella.llm import _spark as S
+
 #: Fixed values of HTML: elements without an end, elements whose insides are no markup, elements whose insides are not shown as text, elements within a line.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 OPAQUE = frozenset("script style noscript textarea title iframe noembed noframes".split())
@@ -40,10 +43,10 @@ TAGS = "html body div section article main header footer nav aside form ul ol dl
 KINDS = {**dict.fromkeys("p h1 h2 h3 h4 h5 h6 blockquote pre dt dd td th li figcaption summary address".split(), 1), **dict.fromkeys("ul ol dl table tbody thead tr menu figure".split(), 2), **dict.fromkeys("nav aside header footer form fieldset".split(), 4)}
 LEAF, OTHER, N_KINDS = 0, 3, 5
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)|<[!?/][^>]*(?:>|\Z)", re.S)
+_TOKEN = re.compile(r"<!--(?:-?>|.*?(?:--!?>|\Z))|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)|<[!?/][^>]*(?:>|\Z)", re.S)
 _CUED = re.compile(r"""\b(?:class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
 _WORD = re.compile(r"[a-z]+")
-_FEATURES = {name: i for i, name in enumerate([*[f"tag {t}" for t in TAGS], "tag ?", *[f"cue {c}" for c in CUES], *[f"size {i}" for i in range(6)], "links none", "links some", "links most", "stops none", "stops some", "stops many", "ends in a stop", "copyright"])}
+_FEATURES = {name: i for i, name in enumerate([*[f"tag {t}" for t in TAGS], "tag ?", *[f"cue {c}" for c in CUES], *[f"size {i}" for i in range(6)], "links none", "links some", "links most", "stops none", "stops some", "stops many", "ends in a stop", "copyright", *[f"box size {i}" for i in range(8)], "box links none", "box links some", "box links most", *[f"box stops {i}" for i in range(4)]])}
 _TAG = {t: _FEATURES[f"tag {t}"] for t in TAGS}
 _CUE = {c: _FEATURES[f"cue {c}"] for c in CUES}
 N_FEATURES = len(_FEATURES)
@@ -58,15 +61,22 @@ def _cues(attributes: str) -> tuple[int, ...]:
     return tuple(sorted(found))
 
 
-def _raw_end(html: str, name: str, at: int) -> int:
-    """Where an element whose insides are no markup ends."""
-    stop = re.compile(f"</{name}(?=[\\s/>]|\\Z)[^>]*(?:>|\\Z)", re.I).search(html, at)
-    return stop.end() if stop else len(html)
+def _raw_end(html: str, name: str, at: int, attributes: str, no_end: set[str]) -> int:
+    """Where an element whose insides are no markup ends. Code that never ends goes on to the page's end; other elements
+    without an end, or closed by themselves, are empty. no_end: names known to have no end from here on."""
+    code = name in ("script", "style")
+    if not code and attributes.endswith("/"):
+        return at
+    stop = None if name in no_end else re.compile(f"</{name}(?=[\\s/>]|\\Z)[^>]*(?:>|\\Z)", re.I).search(html, at)
+    if stop is None:
+        no_end.add(name)
+        return len(html) if code else at
+    return stop.end()
 
 
 def _hidden(html: str, at: int, tags: list[str]) -> dict[int, int]:
     """Of hidden elements from here on that end within their parents: from the end of the start tag to that of the end tag. tags: what is open."""
-    out, open_, count = {}, [(t, 0) for t in tags], Counter(tags)
+    out, open_, count, no_end = {}, [(t, 0) for t in tags], Counter(tags), set()
     while (m := _TOKEN.search(html, at)) is not None:
         at = m.end()
         name = m[2] or m[5]
@@ -75,7 +85,7 @@ def _hidden(html: str, at: int, tags: list[str]) -> dict[int, int]:
         name = name.lower()
         if not (m[1] or m[4]):
             if name in OPAQUE:
-                at = _raw_end(html, name, at)
+                at = _raw_end(html, name, at, m[3] or m[6] or "", no_end)
             elif name not in VOID and not ((name == "svg" or count["svg"]) and (m[3] or m[6] or "").endswith("/")):
                 open_.append((name, at))
                 count[name] += 1
@@ -111,12 +121,20 @@ class Forest:
         self.feature.extend(features)
         return n
 
+    def _look(self, n: int, box: list[int]) -> None:
+        """What an element looks like as a whole."""
+        found = _box_looks(*box)
+        self.node.extend([n] * len(found))
+        self.feature.extend(found)
+
     def add(self, html: str) -> None:
         page, self.pages = self.pages, self.pages + 1
         stack, tags = [self._add(-1, OTHER, ())], [""]
         run: list[str] = []
         linked, in_link, at = 0, False, 0
         hidden: dict[int, int] | None = None
+        no_end: set[str] = set()
+        boxes = [[0, 0, 0, 0]]  # of each open element: characters, those in links, words, stops
 
         def flush() -> None:
             nonlocal linked
@@ -124,11 +142,21 @@ class Forest:
             run.clear()
             if text:
                 self.leaves.append((page, self._add(stack[-1], LEAF, _looks(text, linked)), text))
+                box = boxes[-1]
+                box[0] += len(text)
+                box[1] += min(linked, len(text))
+                box[2] += text.count(" ") + 1
+                box[3] += _stops(text)
             linked = 0
 
         def close(upto: int) -> None:
             flush()
-            del stack[upto:], tags[upto:]
+            while len(stack) > upto:
+                box = boxes.pop()
+                self._look(stack.pop(), box)
+                for i in range(4):
+                    boxes[-1][i] += box[i]
+            del tags[upto:]
 
         while (m := _TOKEN.search(html, at)) is not None:
             if m.start() > at:
@@ -152,7 +180,7 @@ class Forest:
                 continue
             if name in OPAQUE:
                 if not end:
-                    at = _raw_end(html, name, at)
+                    at = _raw_end(html, name, at, m[3] or m[6] or "", no_end)
                 continue
             if name in HIDDEN:
                 if not end:
@@ -190,6 +218,7 @@ class Forest:
             attributes = m[3] or m[6] or ""
             stack.append(self._add(stack[-1], KINDS.get(name, OTHER), (_TAG.get(name, _FEATURES["tag ?"]), *(_cues(attributes) if attributes else ()))))
             tags.append(name)
+            boxes.append([0, 0, 0, 0])
         if at < len(html):
             run.append(unescape(html[at:]))
         close(1)
@@ -198,10 +227,13 @@ class Forest:
         return tuple(np.array(x, np.int64) for x in (self.parent, self.depth, self.kind, self.node, self.feature))
 
 
+def _stops(text: str) -> int:
+    return text.count(".") + text.count(",") + text.count("?") + text.count("!") + text.count("。")
+
+
 def _looks(text: str, linked: int) -> list[int]:
     n = len(text)
-    words = text.count(" ") + 1
-    stops = text.count(".") + text.count(",") + text.count("?") + text.count("!") + text.count("。")
+    words, stops = text.count(" ") + 1, _stops(text)
     return [
         _FEATURES[f"size {min(words.bit_length() - 1, 5)}"],
         _FEATURES["links most" if 2 * linked > n else "links some" if linked else "links none"],
@@ -211,6 +243,16 @@ def _looks(text: str, linked: int) -> list[int]:
     ]
 
 
+def _box_looks(chars: int, linked: int, words: int, stops: int) -> list[int]:
+    if not chars:
+        return []
+    return [
+        _FEATURES[f"box size {min(words.bit_length() // 2, 7)}"],
+        _FEATURES["box links most" if 2 * linked > chars else "box links some" if linked else "box links none"],
+        _FEATURES[f"box stops {min(40 * stops // (words + 1), 3)}"],
+    ]
+
+
 class Tree:
     """Sum-product on all trees at once, level by level."""
 
@@ -278,8 +320,9 @@ def fit(pages: list[tuple[str, list[int]]], steps: int = 150, penalty: float = 0
     return w, pair
 
 
-def labelled_pages(n: int = 240, seed: int = 8) -> list[tuple[str, list[int]]]:
-    """Pages laid out at random, with a label for each run of text: menus, headers, footers, sidebars, notices, adverts, forms and comments around an article."""
+def labelled_pages(n: int = 240, seed: int = 8, hashed: float = 0.3) -> list[tuple[str, list[int]]]:
+    """Pages laid out at random, with a label for each run of text: menus, headers, footers, sidebars, notices, adverts, forms and comments around an article.
+    On a share `hashed` of the pages names of classes and ids say nothing, as those that build tools make."""
     r = random.Random(seed)
     out = []
     for _ in range(n):
@@ -354,6 +397,8 @@ def labelled_pages(n: int = 240, seed: int = 8) -> list[tuple[str, list[int]]]:
         page += body + "".join(junk() for _ in range(r.randint(0, 3)))
         if r.random() < 0.85:
             page += f"<{named('footer', 'footer', 'copyright')}>{r.choice(['&copy; ', ''])}{text(0, 2, 25, r.choice([0, 0.1]))}</footer>"
+        if r.random() < hashed:
+            page = re.sub(r'(class|id)="[^"]*"', lambda m: f'{m[1]}="{r.choice("abcsx")}{r.getrandbits(28):x}"', page)  # noqa: B023
         out.append((f"<!DOCTYPE html><html><head><title>t</title><style>p{{}}</style></head><body>{page}</body></html>", label))
     return out
 
@@ -378,11 +423,11 @@ def _extracted(model, column: str):
 
 
 def extract(pages: DataFrame, model: tuple[np.ndarray, np.ndarray] | None = None, column: str = "html") -> DataFrame:
-    """Every column of pages but `column`, and text: the main text, its blocks joined by two newlines."""
-    kept = [c for c in pages.columns if c not in (column, "text")]
+    """Every column of pages but `column`, and text (text_ where they have a text): the main text, its blocks joined by two newlines."""
+    kept = [c for c in pages.columns if c != column]
     rows = pages.select(F.struct(*kept).alias("row"), F.col(column).alias("html"))
-    out = rows.mapInArrow(_extracted(model or fit(labelled_pages()), "html"), T.StructType([rows.schema["row"], T.StructField("text", T.StringType())]))
-    return out.select(*[F.col(f"row.`{c}`").alias(c) for c in kept], "text")
+    found = rows.mapInArrow(_extracted(model or fit(labelled_pages()), "html"), T.StructType([rows.schema["row"], T.StructField("text", T.StringType())]))
+    return found.select(*[F.col(f"row.`{c}`").alias(c) for c in kept], F.col("text").alias(S.free(kept, "text")))
 
 
 def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:

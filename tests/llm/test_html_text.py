@@ -108,3 +108,65 @@ def test_many_unclosed_elements_are_read_once():
     forest = H.Forest()
     forest.add("<svg>" * 20_000 + "<p>All the same.</p>")
     assert [t for _, _, t in forest.leaves] == ["All the same."]
+
+
+@pytest.mark.parametrize("odd", ["<!-->", "<!--->", "<!-- a > b -->", "<!-- x --!>", "<!doctype x>", "<?php x ?>", "<iframe src=x />", "<iframe src=x>", "<noscript>", "<!---->"])
+def test_comments_and_unclosed_elements_lose_no_text(odd):
+    forest = H.Forest()
+    forest.add(f"<body><article>{ARTICLE.format(odd)}</article></body>")
+    assert [t for _, _, t in forest.leaves] == ["The first long sentence of the article, with words.", "The second long sentence of it, with more words."]
+
+
+def other_pages(n, seed):
+    """Pages of another make than the model's own: tables or nested boxes for columns, names that say nothing."""
+    import random
+
+    r = random.Random(seed)
+    out = []
+    for _ in range(n):
+        word = lambda: "".join(r.choice("bcdfglmnprst") + r.choice("aeiou") for _ in range(r.randint(1, 4)))
+        sentence = lambda a, b: " ".join([word().title(), *[word() for _ in range(r.randint(a, b))]]) + r.choice([".", ".", "!", "?"])
+        box = lambda x: f'<div class="{r.getrandbits(24):x}">{x}</div>'
+        leaf = lambda y, x: (f"<p>{x}</p>", [y])
+
+        def join(*parts):
+            return "".join(h for h, _ in parts), [y for _, ys in parts for y in ys]
+
+        def menu():
+            k = r.randint(3, 9)
+            return "".join(f"<li><a href='#'>{word()} {word()}</a>" for _ in range(k)), [0] * k
+
+        html, y = menu()
+        nav = (f"<ul>{html}</ul>", y)
+        main = join(*[leaf(1, " ".join(sentence(6, 18) for _ in range(r.randint(2, 6)))) for _ in range(r.randint(3, 9))])
+        html, y = menu()
+        side = (f"<h4>{word()}</h4><ul>{html}</ul>", [0, *y])
+        foot = (f"<small>&copy; {word()} {word()}</small>", [0])
+        boxed = [(box(h), y) for h, y in (nav, (box(main[0]), main[1]), side, foot)]
+        out.append(join(*boxed))
+    return out
+
+
+def test_pages_of_another_make(model):
+    """Names say nothing here, so structure and looks must tell."""
+    right = total = 0
+    for html, label in other_pages(120, 5):
+        forest = H.Forest()
+        forest.add(f"<html><body>{html}</body></html>")
+        assert len(forest.leaves) == len(label)
+        p, _ = H.Tree(forest).marginals(*model)
+        right += sum((p[n] >= 0.5) == y for (_, n, _), y in zip(forest.leaves, label, strict=True))
+        total += len(label)
+    print("right:", right / total)
+    assert right / total > 0.97
+
+
+def test_clashing_names_stay(spark):
+    df = spark.createDataFrame([(1, "u", PAGE, "own")], "page_id long, url string, html string, text string")
+    got = H.extract(df)
+    assert got.columns == ["page_id", "url", "text", "text_"] and got.first()["text"] == "own"
+
+
+def test_a_very_long_page_is_read_whole(model):
+    long = "<p>" + "</p><p>".join(f"Sentence number {i} of a long article, which goes on and on." for i in range(60_000)) + "</p>"
+    assert text(model, f"<html><body><article>{long}</article></body></html>").count("\n\n") == 59_999
