@@ -5,12 +5,14 @@ the source's size. Each document draws a number in (0, 1) from a keyed hash, inv
 source's rate, occurs that many times, and all copies are dealt out anew in the order of a second keyed hash.
 
 Defined cases: a null source is a source; a null or empty text counts as one character, so that every source has a size;
-a null doc_id draws as the empty string; rows with equal doc_id draw the same number; extra columns stay as they are.
+a null doc_id draws as the empty string; rows with equal doc_id draw the same number; texts are counted and carried whole,
+however long; extra columns stay as they are, and where one has the name of a result, the result's gets an underscore.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tessella.llm import _spark as S
@@ -41,21 +43,23 @@ def rates(docs: DataFrame, weights: dict[str, float] | None = None, temperature:
     return sizes.select("source", "size", (every * F.col("share") / F.lit(float(total["shares"] or 1)) / F.col("size")).alias("rate"))
 
 
-def _cdf(rate: Column) -> Column:
-    """The Poisson distribution function at 0, 1, ... until it is 1 in double precision, from sums of logarithms."""
-    top = F.ceil(rate + 12 * F.sqrt(rate) + 30).cast("int")
-    start = F.struct((-rate).alias("log"), F.exp(-rate).alias("sum"), F.array(F.exp(-rate)).alias("all"))
-
-    def step(acc: Column, k: Column) -> Column:
-        log = acc["log"] + F.log(rate) - F.log(k.cast("double"))
-        return F.struct(log.alias("log"), (acc["sum"] + F.exp(log)).alias("sum"), F.array_append(acc["all"], acc["sum"] + F.exp(log)).alias("all"))
-
-    return F.when(rate > 0, F.aggregate(F.sequence(F.lit(1), top), start, step, lambda acc: acc["all"])).otherwise(F.array(F.lit(1.0)))
+def _with_cdf(rates: DataFrame) -> DataFrame:
+    """(source, cdf, steps): the Poisson distribution function at 0, 1, ... until it is 1 in double precision, from sums of
+    logarithms, and the powers of two by which it is searched, the greatest first."""
+    rate, k = F.col("rate"), F.col("k")
+    top = F.when(rate > 0, F.ceil(rate + 12 * F.sqrt(rate) + 30)).otherwise(0).cast("int")
+    upto = W.partitionBy("source").orderBy("k")
+    points = rates.select("source", "rate", F.explode(F.sequence(F.lit(0), top)).alias("k"))
+    points = points.withColumn("log", F.when(k == 0, -rate).otherwise(F.log(rate) - F.log(k.cast("double")))).withColumn("log", F.sum("log").over(upto))
+    points = points.withColumn("c", F.when(rate > 0, F.sum(F.exp("log")).over(upto)).otherwise(F.lit(1.0)))
+    table = points.groupBy("source").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "c"))), lambda x: x["c"]).alias("cdf"))
+    powers = F.transform(F.sequence(F.lit(0), F.floor(F.log2(F.size("cdf").cast("double"))).cast("int")), lambda j: F.pow(F.lit(2.0), j).cast("int"))
+    return table.select("source", "cdf", F.reverse(powers).alias("steps"))
 
 
 def mix(docs: DataFrame, weights: dict[str, float] | None = None, temperature: float = 0.5, epochs: float = 1.0, seed: int = 17) -> DataFrame:
     """Every column of docs, and copy (from 1), n_copies, mix_key; partitions hold copies at random, in order of mix_key."""
-    table = rates(docs, weights, temperature, epochs).select("source", _cdf(F.col("rate")).alias("cdf"))
+    table = rates(docs, weights, temperature, epochs).transform(_with_cdf)
     row = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").alias("id"), F.col("source").alias("from"))
     if (table.agg(F.sum(F.size("cdf"))).first()[0] or 0) <= BROADCAST_NUMBERS:
         joined = row.join(F.broadcast(table), F.col("from").eqNullSafe(F.col("source")))
@@ -64,7 +68,8 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, temperature: f
         own = row.withColumn("own", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int"))
         joined = own.join(salted, F.col("from").eqNullSafe(F.col("source")) & (F.col("own") == F.col("salt")))
     u = (_draw("n", seed, F.col("id")) + F.lit(0.5)) / F.lit(float(1 << 52))
-    times = F.size(F.filter("cdf", lambda c: c < u)).cast("long")
+    # of the numbers under u there are `at`, found by halves
+    times = F.aggregate("steps", F.lit(0), lambda at, step: F.when(F.coalesce(F.get("cdf", at + step - 1) < u, F.lit(False)), at + step).otherwise(at)).cast("long")
     copies = (
         joined.select("row", "id", times.alias("n_copies"))
         .filter("n_copies > 0")
@@ -72,7 +77,7 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, temperature: f
         .withColumn("mix_key", _draw("k", seed, F.col("id"), F.col("copy")))
     )
     dealt = copies.repartition(S.partitions(docs), "mix_key").sortWithinPartitions("mix_key", "id")
-    return dealt.select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns], "copy", "n_copies", "mix_key")
+    return dealt.select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns], *[F.col(c).alias(S.free(docs.columns, c)) for c in ("copy", "n_copies", "mix_key")])
 
 
 def op2_mixing_sources(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -68,3 +68,20 @@ def test_sql_agrees(spark):
     want = sorted(con.execute(mixing.OP2_SQL).fetchall())
     got = sorted(tuple(r) for r in mixing.op2_mixing_sources(spark, "/root/testdata/sf0.001").collect())
     assert got == want
+
+
+def test_clashing_names_stay(spark):
+    docs = spark.createDataFrame([(i, "x", "s", 5, 6.0) for i in range(20)], "doc_id long, text string, source string, copy int, Mix_Key double")
+    got = mixing.mix(docs)
+    assert got.columns == ["doc_id", "text", "source", "copy", "Mix_Key", "copy_", "n_copies", "mix_key_"]
+    assert {r["copy"] for r in got.collect()} == {5}
+
+
+def test_high_rates(spark):
+    """A tiny source beside a large one, up to thousands of copies a document."""
+    rows = [(i, "x" * 3000, "big") for i in range(300)] + [(1000 + i, "y", "tiny") for i in range(3)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    shares = {"big": 0.9, "tiny": 0.1}
+    got = mixing.mix(df, weights=shares).filter("source = 'tiny' and copy = 1").collect()
+    want = {i: k for i, j, k, _ in brute(rows, shares) if i >= 1000}
+    assert {r.doc_id: r.n_copies for r in got} == want and min(want.values()) > 1000
