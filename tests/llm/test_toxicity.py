@@ -60,3 +60,50 @@ def test_the_fit_ends_at_a_minimum():
     a = a @ a.T + np.eye(8)
     w = toxicity._least(lambda x: (float(x @ a @ x / 2 - b @ x), a @ x - b), np.zeros(8))
     assert np.allclose(a @ w, b, atol=0.05)
+
+
+def test_fit_matches_a_dense_one(monkeypatch):
+    """Ratios, fit and scores of 60 texts against dense matrices; both forms of packed buckets, held or not."""
+    table = rows(60, 11)
+    label = np.array([y for _, _, y in table])
+    found = list(toxicity.features(*X.utf8(pa.array([t for _, t, _ in table]))))
+    x = np.zeros((60, toxicity.BUCKETS), np.float32)
+    for i, f in enumerate(found):
+        x[i, f] = 1
+    used = np.flatnonzero(x.sum(axis=0) >= toxicity.LEAST_TEXTS)
+    x = x[:, used].astype(np.float64)
+    pos, neg = x[label == 1].sum(axis=0), x[label == 0].sum(axis=0)
+    ratio = np.log((pos + toxicity.SMOOTHING) / (label.sum() + 1)) - np.log((neg + toxicity.SMOOTHING) / ((1 - label).sum() + 1))
+    z, sign, mean = x * ratio, 2.0 * label - 1, x.sum() / 60
+
+    def loss(w):
+        m = sign * (z @ w[:-1] + w[-1])
+        g = -sign / (1 + np.exp(m)) / 60
+        back = np.append(z.T @ g + 2 * toxicity.PENALTY / mean * w[:-1], g.sum())
+        return np.logaddexp(0, -m).mean() + toxicity.PENALTY / mean * (w[:-1] ** 2).sum(), back
+
+    w = toxicity._least(loss, np.zeros(len(used) + 1))
+    want = z @ w[:-1] + w[-1] - np.log(label.sum() / (1 - label).sum()) + np.log(0.2 / 0.8)
+    dense = [np.packbits(np.isin(np.arange(toxicity.BUCKETS), f)).tobytes() for f in found]
+    for packed, most in (([toxicity.packed(f) for f in found], 10**9), (dense, 10**9), (dense, 0)):
+        monkeypatch.setattr(toxicity, "HELD", most)
+        monkeypatch.setattr(toxicity, "PART", 3000)
+        weight, intercept = toxicity.fit(packed, label, 0.2)
+        assert np.allclose([weight[f].sum() + intercept for f in found], want, atol=1e-3)
+        assert set(np.flatnonzero(weight)) <= set(used.tolist())
+
+
+def test_labels_that_disagree_or_have_no_text(spark):
+    table = rows(200, 6)
+    docs = spark.createDataFrame([(i, t) for i, t, _ in table], "doc_id long, text string")
+    first = [(i, y) for i, _, y in table]
+    noise = [(i, 0) for i, _, y in table if y] + [(10**6 + i, i % 2) for i in range(300)]
+    models = [toxicity.train(docs, spark.createDataFrame(x, "doc_id long, toxic int").repartition(n), sample=150) for x, n in ((first, 1), (first + noise, 3), (noise + first, 2))]
+    for weight, intercept in models[1:]:
+        assert np.array_equal(weight, models[0][0]) and intercept == models[0][1]
+
+
+def test_clashing_names_stay(spark):
+    docs = spark.createDataFrame([(1, "a text", "own")], "doc_id long, text string, score string")
+    got = toxicity.score(docs, (np.zeros(toxicity.BUCKETS), 0.0))
+    assert got.columns == ["doc_id", "text", "score", "score_"] and got.first().score == "own"
