@@ -11,7 +11,8 @@ files of lost tasks are never read. Files go through pyarrow's file systems (fil
 parameter, and by default it lies in the shared folder.
 
 Defined cases: a null text is an empty one, whose record holds the end id alone; a null doc_id is written as -2**63 and
-comes first, and is read as null; rows with equal doc_id are ordered by their text; extra columns are ignored.
+comes first, and is read as null; rows with equal doc_id are ordered by a hash of their text, then by it; a text of any
+length is one record; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -30,6 +31,7 @@ from pyspark.sql import types as T
 from tessella.llm import _spark as S
 from tessella.llm import _text as X
 from tessella.llm import byte_ids
+from tessella.operators.order import running
 
 END = 0
 CHUNK = 4 << 20
@@ -181,19 +183,18 @@ def write(docs: DataFrame, folder: str | None = None, path: str | None = None) -
 
     spark = docs.sparkSession
     folder = folder or f"{S.shared(spark)}/tokens-{uuid.uuid4().hex}"
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    dealt = rows.repartitionByRange(S.partitions(docs), "doc_id").sortWithinPartitions("doc_id", "text")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("by"))
+    dealt = rows.repartitionByRange(S.partitions(docs), "doc_id", "by").sortWithinPartitions("doc_id", "by", "text").drop("by")
     return folder, S.cut(dealt.mapInArrow(_written(folder, path or public_tokenizers.path(byte_ids.FILE)), MANIFEST))
 
 
-def _records(folder: str, listed: list[tuple[str, int]], shuffle: int | None):
+def _records(folder: str, shuffle: int | None):
     """(doc_id, start, ids) of each file's records; with `shuffle`, each file in an order of its own."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int | None, int, np.ndarray]]:
         files, at = _files(folder)
         for batch in batches:
-            for part in batch.column("id").to_pylist():
-                name, start = listed[part]
+            for part, name, start in zip(*[batch.column(c).to_pylist() for c in ("part", "file", "start")], strict=True):
                 with files.open_input_stream(f"{at}/{name}.idx") as x:
                     held = x.read()
                 index = np.frombuffer(held[:-4], "<u8").astype(np.int64)
@@ -228,22 +229,19 @@ def _parsed(payload: bytes) -> tuple[int | None, np.ndarray]:
     return None if doc == NO_ID else doc, np.frombuffer(payload, "<u2" if width == 2 else "<u4", n, struct.calcsize(_HEAD))
 
 
-def _listed(manifest: DataFrame) -> list[tuple[str, int]]:
-    """(file, ids before it) in order: a row for each file, not for each document."""
-    start, out = 0, []
-    for r in manifest.orderBy("part").collect():
-        out.append((r.file, start))
-        start += r.n_tokens
-    return out
+def _parts(manifest: DataFrame, shuffle: int | None = None) -> DataFrame:
+    """(part, file, start): a row for each file, with the ids of all files before it, dealt to as many tasks."""
+    started = running(manifest.select("part", "file", "n_tokens"), [], "part", {"upto": "n_tokens"})
+    rows = started.select("part", "file", (F.col("upto") - F.col("n_tokens")).alias("start"))
+    n = max(1, manifest.count())
+    return rows.repartitionByRange(n, "part") if shuffle is None else rows.repartitionByRange(n, F.xxhash64("part", F.lit(shuffle))).sortWithinPartitions(F.xxhash64("part", F.lit(shuffle)))
 
 
 def read(spark: SparkSession, folder: str, manifest: DataFrame, shuffle: int | None = None) -> DataFrame:
     """(doc_id, ids) of all records; with `shuffle`, files and the records in each in an order drawn from it."""
-    listed = _listed(manifest)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list = []
-        for doc, _, ids in _records(folder, listed, shuffle)(batches):
+        for doc, _, ids in _records(folder, shuffle)(batches):
             held.append((doc, ids.astype(np.int32)))
             if len(held) == 2000:
                 yield _lists(held)
@@ -251,14 +249,7 @@ def read(spark: SparkSession, folder: str, manifest: DataFrame, shuffle: int | N
         if held:
             yield _lists(held)
 
-    parts = _parts(spark, len(listed))
-    if shuffle is not None:
-        parts = parts.orderBy(F.xxhash64("id", F.lit(shuffle)))
-    return parts.mapInArrow(run, T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("ids", T.ArrayType(T.IntegerType(), False))]))
-
-
-def _parts(spark: SparkSession, n: int) -> DataFrame:
-    return spark.range(0, n, 1, max(1, n))
+    return _parts(manifest, shuffle).mapInArrow(run, T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("ids", T.ArrayType(T.IntegerType(), False))]))
 
 
 def _lists(held: list) -> pa.RecordBatch:
@@ -268,11 +259,9 @@ def _lists(held: list) -> pa.RecordBatch:
 
 def digests(spark: SparkSession, folder: str, manifest: DataFrame) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) from the files."""
-    listed = _listed(manifest)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: list[list] = [[], [], [], []]
-        for doc, start, ids in _records(folder, listed, None)(batches):
+        for doc, start, ids in _records(folder, None)(batches):
             for to, v in zip(found, (doc, start, len(ids), zlib.crc32(ids.astype("<u4").tobytes())), strict=True):
                 to.append(v)
             if len(found[0]) == 20_000:
@@ -281,7 +270,7 @@ def digests(spark: SparkSession, folder: str, manifest: DataFrame) -> DataFrame:
         if found[0]:
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in found], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    return _parts(spark, len(listed)).mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return _parts(manifest).mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
