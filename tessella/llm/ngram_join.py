@@ -87,7 +87,7 @@ def _sets(k: int):
             parts = [_signatures(*shingle_sets(d, o, k), b - a) for a, b, d, o in X.chunks(data, off)]
             if parts:
                 size, sig, check = (np.concatenate(x) for x in zip(*parts, strict=True))
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(size, pa.int64()), *[pa.array(x.view(np.int64), mask=size == 0) for x in (sig, check)]], names=["doc_id", "n_shingles", "class", "check"])
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("key"), pa.array(size, pa.int64()), *[pa.array(x.view(np.int64), mask=size == 0) for x in (sig, check)]], names=["doc_id", "key", "n_shingles", "class", "check"])
 
     return run
 
@@ -489,12 +489,13 @@ def _exploded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def groups(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """(doc_id, n_shingles, class_id, component_id) of each row of docs(doc_id, text).
+    """(doc_id, key, n_shingles, class_id, component_id, first) of each row of docs(doc_id, text).
 
     class_id is the smallest doc_id with an equal set, component_id the smallest one reachable by links. Both are the
-    row's own doc_id where the set is empty.
+    row's own doc_id where the set is empty. key is a hash of doc_id and text, by which rows with one doc_id are told
+    apart, and `first` is true for the row of least (doc_id, key) of each component, all equal rows, and empty sets.
     """
-    own = docs.select("doc_id", "text").mapInArrow(_sets(k), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_shingles long, class long, check long")
+    own = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("key")).mapInArrow(_sets(k), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, key long, n_shingles long, class long, check long")
     own = S.cut(own)
     clash = own.filter("class is not null").groupBy("class").agg(F.min("check").alias("lo"), F.max("check").alias("hi")).filter("lo <> hi").select("class")
     odd = [r[0] for r in clash.limit(CLASHES + 1).collect()]
@@ -504,14 +505,17 @@ def groups(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
         own = own.withColumn("class", F.when(F.col("class").isin(odd), F.col("class").bitwiseXOR(F.col("check"))).otherwise(F.col("class")))
     links = class_links(docs, k, percent, np.array(odd, np.int64).view(np.uint64))
     S.release()
-    classes = own.filter("class is not null").groupBy("class").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("copies"))
+    classes = own.filter("class is not null").groupBy("class").agg(F.min(F.struct("doc_id", "key")).alias("least"), F.count("*").alias("copies"))
     rooted = S.cut(classes.join(components(links).withColumnRenamed("node", "class"), "class", "left"))
     S.release()
-    least = S.cut(rooted.filter("root is not null").groupBy("root").agg(F.min("class_id").alias("component_id"), F.count("*").alias("classes")))
-    named = S.looked_up(rooted, least, "root", "classes").select("class", "class_id", F.coalesce("component_id", "class_id").alias("component_id"), "copies")
-    found = S.looked_up(own.select("doc_id", "n_shingles", "class"), S.cut(named), "class", "copies")
-    return found.select("doc_id", "n_shingles", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    least = S.cut(rooted.filter("root is not null").groupBy("root").agg(F.min("least").alias("reached"), F.count("*").alias("classes")))
+    named = S.looked_up(rooted, least, "root", "classes").select("class", F.col("least").alias("of_class"), F.coalesce("reached", "least").alias("of_all"), "copies")
+    found = S.looked_up(own.select("doc_id", "key", "n_shingles", "class"), S.cut(named), "class", "copies")
+    least = lambda c: F.when(F.col(c).isNull(), F.col("doc_id")).otherwise(F.col(f"{c}.doc_id"))
+    first = F.col("of_all").isNull() | F.col("of_all").eqNullSafe(F.struct("doc_id", "key"))
+    return found.select("doc_id", "key", "n_shingles", least("of_class").alias("class_id"), least("of_all").alias("component_id"), first.alias("first"))
 
 
 def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return groups(spark.read.parquet(f"{sf_dir}/documents.parquet"), k=4, percent=85)
+    found = groups(spark.read.parquet(f"{sf_dir}/documents.parquet"), k=4, percent=85)
+    return found.select("doc_id", "n_shingles", "class_id", "component_id")

@@ -12,7 +12,8 @@ checked when the model is read. Without dropout the ids are the library's own. C
 pieces, and so does U+2581 itself, which the library would turn into a space: decoding gives every text back.
 
 Defined cases: a null or empty text has no ids and decodes to the empty text; rows with equal doc_id and text are cut in
-the same way; a null doc_id draws as 0; extra columns stay as they are.
+the same way; a null doc_id draws as 0; texts are cut whole, however long, one after another where they are long; extra columns stay as
+they are, and where one is called ids (or text, on decoding), the result is ids_ (text_).
 """
 
 from __future__ import annotations
@@ -361,11 +362,11 @@ def _rows(docs: DataFrame) -> DataFrame:
 
 
 def encode(docs: DataFrame, path: str | None = None, dropout: float = DROPOUT, seed: int = SEED) -> DataFrame:
-    """Every column of docs but text, and ids array<int>: the text's pieces. With dropout 0, the library's own."""
+    """Every column of docs but text, and ids array<int> (ids_ where they have ids): the text's pieces. With dropout 0, the library's own."""
     rows = _rows(docs)
     schema = T.StructType([rows.schema["row"], T.StructField("ids", T.ArrayType(T.IntegerType(), False))])
     out = rows.mapInArrow(_encoded(path or model_path(), dropout, seed, False), schema)
-    return out.select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns if c not in ("text", "ids")], "ids")
+    return out.select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns if c != "text"], F.col("ids").alias(S.free(docs.columns, "ids")))
 
 
 def _decoded(path: str):
@@ -380,10 +381,10 @@ def _decoded(path: str):
 
 def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
     """Every column but ids, and text; null ids give the empty text."""
-    kept = [c for c in encoded.columns if c not in ("ids", "text")]
+    kept = [c for c in encoded.columns if c != "ids"]
     rows = encoded.select(F.struct(*kept).alias("row"), "ids")
     out = rows.mapInArrow(_decoded(path or model_path()), T.StructType([rows.schema["row"], T.StructField("text", T.StringType())]))
-    return out.select(*[F.col(f"row.`{c}`").alias(c) for c in kept], "text")
+    return out.select(*[F.col(f"row.`{c}`").alias(c) for c in kept], F.col("text").alias(S.free(kept, "text")))
 
 
 def digests(docs: DataFrame, path: str | None = None, dropout: float = DROPOUT, seed: int = SEED) -> DataFrame:
