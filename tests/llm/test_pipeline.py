@@ -54,3 +54,25 @@ def test_stages_match_brute_force(spark, odd_docs, tmp_path):
 def test_empty_documents(spark, odd_docs, tmp_path):
     odd_docs.limit(0).selectExpr("doc_id", "text", "lang", "source", "0L as n_chars").write.parquet(str(tmp_path / "documents.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_near_duplicates_by_row(spark):
+    """Repeated rows, rows that share an id, nulls and clashing names."""
+    a, b = " ".join(f"w{i}" for i in range(60)), " ".join(f"v{i}" for i in range(60))
+    rows = [(1, a, "x", 1), (1, a, "x", 1), (1, a, "y", 2), (2, a + " end", "x", 3), (1, b, "x", 4), (3, b, "x", 5), (None, "z " + a, "x", 6), (4, None, "x", 7), (4, None, "x", 7), (5, "", "x", 8), (6, "", "x", 9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, `first` int").withColumnRenamed("lang", "key")
+    got = corpus_pipeline.near_duplicates(spark, docs, "")
+    assert got.columns == docs.columns
+    assert sorted(map(str, (tuple(r) for r in got.collect()))) == sorted(map(str, [(None, "z " + a, "x", 6), (1, b, "x", 4), (4, None, "x", 7), (5, "", "x", 8), (6, "", "x", 9)]))
+
+
+def test_run_with_nulls_repeated_rows_and_clashing_names(spark, odd_docs, tmp_path):
+    docs = odd_docs.selectExpr("doc_id", "text", "lang", "source", "cast(length(text) as long) as n_chars", "1 as copy", "2 as row", "3 as ids", "4 as n_words")
+    extra = spark.createDataFrame([(None, " ".join(f"null{i}" for i in range(50)), None, None, None, 1, 2, 3, 4), (7, None, "en", "s", 0, 1, 2, 3, 4)], docs.schema)
+    docs.unionByName(extra).unionByName(docs.filter("doc_id < 20")).write.parquet(str(tmp_path / "documents.parquet"))
+    got = corpus_pipeline.run(spark, str(tmp_path))
+    assert got.columns == ["doc_id", "lang", "source", "ids"]
+    rows = got.collect()
+    once = corpus_pipeline.near_duplicates(spark, docs.unionByName(extra).unionByName(docs.filter("doc_id < 20")).transform(quality.keep), "")
+    assert once.groupBy("doc_id", "text").count().filter("count > 1").count() == 0
+    assert {r.doc_id for r in rows} <= {r.doc_id for r in once.collect()}
