@@ -319,7 +319,7 @@ _GATE = """f AS (
 ), decided AS (
   SELECT sample_id, CASE WHEN bool_or(e = 'retake') THEN 'retake' WHEN bool_or(e = 'warning') THEN 'warning' ELSE 'pass' END AS decision,
          first(r ORDER BY CASE e WHEN 'retake' THEN 0 ELSE 1 END, list_position(['CAST', 'NOTHING_THERE', 'TOO_SMALL', 'BLUR', 'STAIN', 'SMALL'], r), seq) FILTER (r IS NOT NULL) AS primary_reason,
-         coalesce(string_agg(r, '|' ORDER BY seq) FILTER (r IS NOT NULL), '') AS reasons, NOT bool_or(coalesce(e = 'retake', false)) AS usable, bool_and(evaluation_state = 'evaluated') AS evaluation_complete
+         coalesce(string_agg(r, '|' ORDER BY seq) FILTER (r IS NOT NULL), '') AS reasons, NOT bool_or(coalesce(e = 'retake', false)) AS usable, bool_and(evaluation_state = 'evaluated') FILTER (check_id <> 'later') AS evaluation_complete
   FROM c GROUP BY sample_id
 )"""
 _STATS = LONG + ", m AS (SELECT feature, count(value) FILTER (label = 0) AS n0, count(value) FILTER (label = 1) AS n1, avg(value) FILTER (label = 0) AS m0, avg(value) FILTER (label = 1) AS m1, var_samp(value) FILTER (label = 0) AS v0, var_samp(value) FILTER (label = 1) AS v1 FROM long GROUP BY feature)"
@@ -385,7 +385,7 @@ ORACLE_SQL = {
     "m21_attribution": f"""WITH {_GATE}, g AS (SELECT sample_id, concat_ws('+', CASE WHEN bool_or(seq < 2 AND e = 'retake') THEN 'size' END, CASE WHEN bool_or(seq = 3 AND e = 'retake') THEN 'focus' END, CASE WHEN bool_or(seq = 2 AND e = 'retake') THEN 'cast' END, CASE WHEN bool_or(seq = 4 AND e = 'retake') THEN 'stain' END) AS b FROM c GROUP BY 1)
       SELECT CASE WHEN contains(b, '+') THEN b ELSE b || '_only' END AS bucket, count(*) AS n FROM g WHERE b <> '' GROUP BY 1""",
     "f28_status_breakdown": f"WITH {_GATE}, s AS (SELECT check_id, coalesce(e, 'null') AS status FROM c) SELECT check_id, status, count(*) AS n FROM s GROUP BY ALL UNION ALL SELECT 'overall', status, count(*) FROM s GROUP BY status",
-    "f29_incomplete_reasons": f"WITH {_GATE}, s AS (SELECT sample_id, bool_or(evaluation_state = 'unavailable') AS u, bool_or(evaluation_state = 'not_evaluated') AS n FROM c GROUP BY 1) SELECT CASE WHEN u THEN 'unavailable' WHEN n THEN 'not_evaluated' ELSE 'complete' END AS why, count(*) AS n FROM s GROUP BY 1",
+    "f29_incomplete_reasons": f"WITH {_GATE}, s AS (SELECT sample_id, bool_or(evaluation_state = 'unavailable') AS u, bool_or(evaluation_state = 'not_evaluated') AS n FROM c WHERE check_id <> 'later' GROUP BY 1) SELECT CASE WHEN u THEN 'unavailable' WHEN n THEN 'not_evaluated' ELSE 'complete' END AS why, count(*) AS n FROM s GROUP BY 1",
     "c28_reason_counts": f"WITH {_GATE} SELECT r AS reason, count(*) AS n FROM c WHERE r IS NOT NULL GROUP BY r",
     "l9_integrity": f"WITH {_GATE} SELECT sample_id, 'pass' AS decision FROM decided WHERE primary_reason = 'SMALL'",
     "c3_infer_split": """WITH p AS (SELECT page_id, url || CASE page_id % 3 WHEN 0 THEN '/Train/x.jpg' WHEN 1 THEN '/valid/x.jpg' ELSE '/x.jpg' END AS path FROM pages), s AS (SELECT page_id, string_split(lower(path), '/') AS parts, string_split(path, '/') AS own FROM p)

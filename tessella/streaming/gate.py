@@ -4,21 +4,21 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessella.operators import gate
 
 
-def checks(stream: DataFrame, rules: Sequence[gate.Check | Column], key: str = "sample_id", time: str = "ts") -> DataFrame:
+def checks(stream: DataFrame, rules: Sequence[gate.Rated], key: str = "sample_id", time: str = "ts") -> DataFrame:
     """Rows of checks: a map of each row, without state."""
-    items = F.array(*[c.row() if isinstance(c, gate.Check) else c for c in rules])
+    items = F.array(*[c.row() for c in rules])
     return stream.select(F.col(key).alias("sample_id"), F.col(time).alias("ts"), F.explode(items).alias("c")).select("sample_id", "ts", "c.*")
 
 
-def decisions(stream: DataFrame, rules: Sequence[gate.Check | Column], key: str = "sample_id", time: str = "ts") -> DataFrame:
+def decisions(stream: DataFrame, rules: Sequence[gate.Rated], key: str = "sample_id", time: str = "ts") -> DataFrame:
     """(sample_id, ts, decision) of each row, without state: the worst effect of its checks."""
-    effects = F.array(*[(c.row() if isinstance(c, gate.Check) else c)["decision_effect"] for c in rules])
+    effects = F.array(*[c.row()["decision_effect"] for c in rules])
     name = F.when(F.array_contains(effects, "retake"), "retake").when(F.array_contains(effects, "warning"), "warning").otherwise("pass")
     return stream.select(F.col(key).alias("sample_id"), F.col(time).alias("ts"), name.alias("decision"))
 
