@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tessella.operators import metrics as M
-from tessella.operators.order import running
+from tessella.operators.order import percentiles, running, with_percentiles
 
 
 def no_test(df: DataFrame) -> DataFrame:
@@ -51,7 +51,7 @@ def tail_thresholds(df: DataFrame, tails: dict[str, tuple[float, float]], floors
     """(feature, warning, retake) from percentiles of good samples, tails: feature -> both points; a floor bounds a warning from below."""
     out = None
     for name, (warn, retake) in tails.items():
-        row = df.agg(F.percentile(name, F.array(F.lit(warn), F.lit(retake))).alias("q"))
+        row = percentiles(df, name, [warn, retake])
         w = F.greatest(F.col("q")[0], F.lit((floors or {}).get(name, float("-inf"))))
         row = row.select(F.lit(name).alias("feature"), w.alias("warning"), F.col("q")[1].alias("retake"))
         out = row if out is None else out.unionByName(row)
@@ -62,7 +62,7 @@ def capped_threshold(df: DataFrame, value: str, share: float = 0.02) -> DataFram
     """One row: the least threshold that floor(share n) of the values at most reach, and the 95th percentile as a warning."""
     counted = df.filter(F.col(value).isNotNull()).groupBy(F.col(value).cast("double").alias("v")).agg(F.count("*").alias("n"))
     ranked = running(counted, [], "v", {"upto": "n"}, descending=True).withColumn("before", F.col("upto") - F.col("n"))
-    total = df.agg(F.count(value).alias("total"), F.percentile(value, F.lit(0.95)).alias("warning"))
+    total = with_percentiles(df.agg(F.count(value).alias("total")), df, value, {"warning": 0.95})
     allowed = F.floor(F.col("total") * share)
     return ranked.crossJoin(F.broadcast(total)).filter((F.col("before") <= allowed) & (F.col("upto") > allowed)).select(F.col("v").alias("largest_allowed"), "warning", "total", allowed.alias("allowed"))
 
@@ -70,6 +70,6 @@ def capped_threshold(df: DataFrame, value: str, share: float = 0.02) -> DataFram
 def style_ranges(df: DataFrame, values: Sequence[str], domain: str, reference: str, low: float, high: float) -> DataFrame:
     """(domain, feature, ratio): means of each domain over the reference domain's, kept within [low, high]."""
     long = df.select(F.col(domain).alias("domain"), F.explode(F.array(*[F.struct(F.lit(v).alias("feature"), F.col(v).cast("double").alias("value")) for v in values])).alias("f")).select("domain", "f.*")
-    mean = long.groupBy("domain", "feature").agg(F.avg("value").alias("mean"), F.percentile("value", F.lit(0.05)).alias("p05"), F.percentile("value", F.lit(0.95)).alias("p95"))
+    mean = with_percentiles(long.groupBy("domain", "feature").agg(F.avg("value").alias("mean")), long, "value", {"p05": 0.05, "p95": 0.95}, ["domain", "feature"])
     base = mean.filter(F.col("domain") == reference).select("feature", F.col("mean").alias("base"))
     return mean.join(F.broadcast(base), "feature").select("domain", "feature", "p05", "p95", F.greatest(F.lit(low), F.least(F.lit(high), M.ratio(F.col("mean"), F.col("base"), None))).alias("ratio"))  # a row for each feature

@@ -176,9 +176,9 @@ def multi_instances(clean: DataFrame) -> DataFrame:
 
 def resolved_masks(masks: DataFrame) -> DataFrame:
     """Of several masks of a sample the only one of its own origin; a sample where that fails is unresolved."""
-    w = W.partitionBy("canonical_sample_id")
     own = F.col("origin_sample_id") == F.col("canonical_sample_id")
-    out = masks.withColumn("n", F.count(F.lit(1)).over(w)).withColumn("n_own", F.count_if(own).over(w))
+    counts = masks.groupBy(F.col("canonical_sample_id").alias("_of")).agg(F.count("*").alias("n"), F.count_if(own).alias("n_own"))
+    out = masks.join(counts, F.col("canonical_sample_id").eqNullSafe(F.col("_of")))
     kept = (F.col("n") == 1) | ((F.col("n_own") == 1) & own)
     state = F.when(F.col("n") == 1, "single").when(F.col("n_own") == 1, F.when(own, "own_origin").otherwise("dropped")).otherwise("unresolved")
     return out.select(*masks.columns, state.alias("resolution"), kept.alias("kept"))

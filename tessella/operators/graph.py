@@ -7,10 +7,13 @@ from pyspark.sql import functions as F
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """df with its lineage cut, in the shared folder of spark.checkpoint.dir (one under /tmp where it is not set: local mode)."""
+    """df with its lineage cut, in the shared folder of spark.checkpoint.dir; in local mode, where all share one machine, one under /tmp if it is not set."""
     sc = df.sparkSession.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or "file:///tmp/tessella-shared")
+        at = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not at and (not sc.master.startswith("local") or sc.master.startswith("local-cluster")):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(at or "file:///tmp/tessella-shared")
     return df.checkpoint()
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tessella.functions import scalars as X
-from tessella.operators.order import running
+from tessella.operators.order import percentiles, running, with_percentiles
 
 
 def ratio(a: Column, b: Column, otherwise: float | None = 0.0) -> Column:
@@ -84,18 +84,16 @@ POINTS = (1, 5, 10, 25, 50, 75, 90, 95, 99)
 def quantile_summary(df: DataFrame, value: str, by: Sequence[str] = (), points: Sequence[int] = POINTS) -> DataFrame:
     """Count, missing, mean, population deviation, extremes and interpolated percentiles."""
     v = F.col(value).cast("double")
-    q = F.percentile(v, F.array(*[F.lit(p / 100) for p in points]))
-    out = df.groupBy(*by).agg(F.count(v).alias("count"), F.count_if(v.isNull()).alias("missing"), F.avg(v).alias("mean"), F.stddev_pop(v).alias("std"), F.min(v).alias("min"), F.max(v).alias("max"), q.alias("q"))
-    return out.select(*by, "count", "missing", "mean", "std", "min", "max", *[F.element_at("q", i + 1).alias(f"p{p:02d}") for i, p in enumerate(points)])
+    out = df.groupBy(*by).agg(F.count(v).alias("count"), F.count_if(v.isNull()).alias("missing"), F.avg(v).alias("mean"), F.stddev_pop(v).alias("std"), F.min(v).alias("min"), F.max(v).alias("max"))
+    return with_percentiles(out, df, value, {f"p{p:02d}": p / 100 for p in points}, by)
 
 
 def scoped_summary(df: DataFrame, values: Sequence[str], scope: str) -> DataFrame:
     """Summaries of several columns for each scope and overall, in long form."""
     long = df.select(scope, F.explode(F.array(*[F.struct(F.lit(v).alias("feature"), F.col(v).cast("double").alias("value")) for v in values])).alias("f")).select(scope, "f.*")
-    out = long.groupingSets([["feature", scope], ["feature"]], "feature", scope).agg(
-        F.count("value").alias("count"), F.avg("value").alias("mean"), F.percentile("value", F.lit(0.05)).alias("p05"), F.percentile("value", F.lit(0.5)).alias("p50"), F.percentile("value", F.lit(0.95)).alias("p95"), F.grouping(scope).alias("g")
-    )
-    return out.select("feature", F.when(F.col("g") == 1, "overall").otherwise(F.col(scope)).alias("scope"), "count", "mean", "p05", "p50", "p95")
+    both = long.select("feature", F.explode(F.array(F.col(scope), F.lit("overall"))).alias("scope"), "value")
+    out = both.groupBy("feature", "scope").agg(F.count("value").alias("count"), F.avg("value").alias("mean"))
+    return with_percentiles(out, both, "value", {"p05": 0.05, "p50": 0.5, "p95": 0.95}, ["feature", "scope"])
 
 
 def nearest_rank(df: DataFrame, value: str, q: float, by: Sequence[str] = ()) -> DataFrame:
@@ -110,7 +108,7 @@ def nearest_rank(df: DataFrame, value: str, q: float, by: Sequence[str] = ()) ->
 
 def size_buckets(df: DataFrame, value: str) -> DataFrame:
     """small, medium (both edges included) and large by the 33rd and 66th percentiles."""
-    edges = df.agg(F.percentile(value, F.array(F.lit(0.33), F.lit(0.66))).alias("e"))
+    edges = percentiles(df, value, [0.33, 0.66]).withColumnRenamed("q", "e")
     e = F.col("e")
     return df.crossJoin(F.broadcast(edges)).withColumn("bucket", F.when(F.col(value) < e[0], "small").when(F.col(value) <= e[1], "medium").otherwise("large")).drop("e")  # one row
 

@@ -8,11 +8,11 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tessella.functions import scalars as X
 from tessella.operators.graph import connected
+from tessella.operators.order import running
 from tessella.policy import SPLITS, SplitPolicy
 
 HOLDOUT = "external_holdout"
@@ -47,6 +47,11 @@ def split_groups(grouped: DataFrame) -> DataFrame:
     )
 
 
+def group_datasets(grouped: DataFrame) -> DataFrame:
+    """(split_group_id, dataset, n): how many samples of each dataset a group has."""
+    return grouped.groupBy("split_group_id", "dataset").agg(F.count("*").alias("n"))
+
+
 def with_pools(groups: DataFrame, grouped: DataFrame, assigned: DataFrame) -> DataFrame:
     """Groups with flags for the pools that they hold."""
     has = grouped.select("sample_id", "split_group_id").join(assigned.select("sample_id", "supervision_pool"), "sample_id")
@@ -99,7 +104,7 @@ class _Greedy:
             chosen = []
             for row in batch.to_pylist():
                 n, total, group, best = row["n_samples"], row["total"], row["split_group_id"], None
-                of_data, data_total = by_data[row["datasets"]], row["data_total"]
+                datasets = [(by_data[x["dataset"]], x["n"], x["data_total"]) for x in row["x"]]
                 facts = [(by_fact[f["fact"]], f["n"], f["fact_total"], f["holders"]) for f in row["f"]]
                 for s, name in enumerate(names):
                     # only terms that this choice changes differ between the choices
@@ -110,35 +115,41 @@ class _Greedy:
                             change -= 0.5
                         elif holders == 2 and name in ("train", "val"):
                             change -= 0.2
-                    change += 1.5 * away([h + (j == s) * n for j, h in enumerate(of_data)], data_total) / data_total
+                    for held, v, data_total in datasets:
+                        change += 1.5 * away([h + (j == s) * v for j, h in enumerate(held)], data_total) / data_total
                     mark = (round(change, 12), _rank(self.seed, f"{group}::{name}"), s)
                     if best is None or mark < best:
                         best = mark
                 s = best[2]
                 chosen.append(names[s])
                 size[s] += n
-                of_data[s] += n
-                for held, v, _, _ in facts:
+                for held, v, *_ in datasets + facts:
                     held[s] += v
             yield pa.RecordBatch.from_arrays([batch.column("split_group_id").cast(pa.string()), pa.array(chosen, pa.string()), pa.array(["stratified"] * len(chosen), pa.string())], names=["split_group_id", "split", "split_reason"])
 
 
-def assign_splits(groups: DataFrame, vectors: DataFrame, policy: SplitPolicy) -> DataFrame:
+def assign_splits(groups: DataFrame, vectors: DataFrame, policy: SplitPolicy, datasets: DataFrame | None = None) -> DataFrame:
     """(split_group_id, split, split_reason): forced groups first, the others by greedy placement.
 
+    datasets: group_datasets(), by which each dataset is balanced by itself; without it the groups' column `datasets` names one.
+
     Each choice depends on all before it, so one task places all groups, in order of their rarest fact; it reads them as
     a stream and holds counts only. Totals of sizes, facts and datasets and the holders of facts are aggregates.
     """
     free = groups.filter("forced_split is null").select("split_group_id", "n_samples", "datasets")
+    if datasets is None:
+        datasets = free.select("split_group_id", F.col("datasets").alias("dataset"), F.col("n_samples").alias("n"))
+    parts = datasets.join(free.select("split_group_id"), "split_group_id")
     own = vectors.join(free.select("split_group_id"), "split_group_id")
     of_fact = own.groupBy(F.col("fact").alias("of")).agg(F.sum("n").alias("fact_total"), F.count("*").alias("holders"))
-    of_data = free.groupBy(F.col("datasets").alias("of")).agg(F.sum("n_samples").alias("data_total"))
+    of_data = parts.groupBy(F.col("dataset").alias("of")).agg(F.sum("n").alias("data_total"))
     whole = free.agg(F.sum("n_samples").alias("total"))
     # facts and datasets are as many as the counts that the placing task holds
     per = own.join(F.broadcast(of_fact), F.col("fact").eqNullSafe(F.col("of"))).groupBy("split_group_id").agg(F.sort_array(F.collect_list(F.struct("fact", "n", "fact_total", "holders"))).alias("f"), F.min("fact_total").alias("rarity"))
-    rows = free.join(F.broadcast(of_data), F.col("datasets").eqNullSafe(F.col("of"))).crossJoin(F.broadcast(whole)).join(per, "split_group_id", "left")
+    of_group = parts.join(F.broadcast(of_data), F.col("dataset").eqNullSafe(F.col("of"))).groupBy("split_group_id").agg(F.sort_array(F.collect_list(F.struct("dataset", "n", "data_total"))).alias("x"))
+    rows = free.join(of_group, "split_group_id").crossJoin(F.broadcast(whole)).join(per, "split_group_id", "left")
     rows = rows.select(
-        "split_group_id", F.col("n_samples").cast("long").alias("n_samples"), "datasets", "total", "data_total", F.coalesce("f", F.array().cast(per.schema["f"].dataType)).alias("f"),
+        "split_group_id", F.col("n_samples").cast("long").alias("n_samples"), "x", "total", F.coalesce("f", F.array().cast(per.schema["f"].dataType)).alias("f"),
         F.coalesce("rarity", F.lit(10**9)).alias("rarity"), F.md5(F.concat(F.lit(f"{policy.seed}::"), "split_group_id")).substr(1, 16).alias("at"),
     )
     ordered = rows.repartition(1).sortWithinPartitions("rarity", F.desc("n_samples"), "at", "split_group_id").drop("rarity", "at")
@@ -214,7 +225,7 @@ def leakage(splits: DataFrame, keys: tuple[str, ...] = ("sample_id", "split_grou
 
 def balanced_batches(samples: DataFrame, per_domain: int, seed: int) -> DataFrame:
     """Batches with the same number of each domain, in hash order; what fills no batch is left out, as is the feature's sense."""
-    w = W.partitionBy("dataset").orderBy(X.hash_hex(seed, "sample_id"), "sample_id")
-    ranked = samples.select("sample_id", "dataset").withColumn("at", F.row_number().over(w) - 1).withColumn("batch", F.floor(F.col("at") / per_domain).cast("long"))
+    drawn = samples.select("sample_id", "dataset", X.hash_hex(seed, "sample_id").alias("hash"), F.lit(1).cast("long").alias("one")).withColumn("by", F.conv(F.substring("hash", 1, 13), 16, 10).cast("long"))
+    ranked = running(drawn, ["dataset"], "by", {"at": "one"}, ties=["hash", "sample_id"]).withColumn("batch", F.floor((F.col("at") - 1) / per_domain).cast("long"))
     full = samples.groupBy("dataset").agg(F.count("*").alias("n")).agg(F.floor(F.min("n") / per_domain).cast("long").alias("batches"))
     return ranked.crossJoin(F.broadcast(full)).filter("batch < batches").select("batch", "dataset", "sample_id")  # one row

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tessella.operators.order import running
+from tessella.operators.order import following, percentiles, running, with_percentiles
 
 
 def long_form(df: DataFrame, keys: Sequence[str], features: Sequence[str]) -> DataFrame:
@@ -40,12 +40,13 @@ def _effect() -> Column:
 
 def robust_difference(long: DataFrame, label: str = "label") -> DataFrame:
     """Difference of medians over 1.4826 times the median absolute deviation of all values."""
-    half = F.lit(0.5)
-    side = lambda y: F.percentile(F.when(F.col(label) == y, F.col("value")), half)
-    m = long.groupBy("feature").agg(side(0).alias("m0"), side(1).alias("m1"), F.percentile("value", half).alias("m"))
-    mad = long.join(F.broadcast(m), "feature").groupBy("feature").agg(F.percentile(F.abs(F.col("value") - F.col("m")), half).alias("mad"))  # a row for each feature
+    sides = long.select("feature", "value", F.when(F.col(label) == 0, F.col("value")).alias("v0"), F.when(F.col(label) == 1, F.col("value")).alias("v1"))
+    m = sides.select("feature").distinct()
+    for name, v in (("m0", "v0"), ("m1", "v1"), ("m", "value")):
+        m = with_percentiles(m, sides, v, {name: 0.5}, ["feature"])
+    away = long.join(F.broadcast(m), "feature").select("feature", F.abs(F.col("value") - F.col("m")).alias("away"))  # a row for each feature
     s = 1.4826 * F.col("mad")
-    return m.join(mad, "feature").select("feature", (F.col("m1") - F.col("m0")).alias("difference"), F.when(s < 1e-12, 0.0).otherwise((F.col("m1") - F.col("m0")) / s).alias("robust_d"))
+    return with_percentiles(m, away, "away", {"mad": 0.5}, ["feature"]).select("feature", (F.col("m1") - F.col("m0")).alias("difference"), F.when(s < 1e-12, 0.0).otherwise((F.col("m1") - F.col("m0")) / s).alias("robust_d"))
 
 
 def distances(long: DataFrame, label: str = "label") -> DataFrame:
@@ -53,15 +54,14 @@ def distances(long: DataFrame, label: str = "label") -> DataFrame:
     n = long.filter("value is not null").groupBy("feature", "value").agg(F.count_if(F.col(label) == 0).alias("a"), F.count_if(F.col(label) == 1).alias("b"))
     total = n.groupBy("feature").agg(F.sum("a").alias("na"), F.sum("b").alias("nb"))
     cumulated = running(n, ["feature"], "value", {"ca": "a", "cb": "b"}).join(F.broadcast(total), "feature")  # a row for each feature
-    q = cumulated.withColumn("next", F.lead("value").over(W.partitionBy("feature").orderBy("value")))
+    q = following(cumulated, ["feature"], "value", "next")
     gap = F.abs(F.col("ca") / F.col("na") - F.col("cb") / F.col("nb"))
     return q.filter("na > 0 and nb > 0").groupBy("feature").agg(F.max(gap).alias("ks"), F.sum(gap * (F.col("next") - F.col("value"))).alias("wasserstein"))
 
 
 def quantile_strata(df: DataFrame, value: str, label: str, bins: int = 5) -> DataFrame:
     """Rate of the label in quantile bins (closed to the right, the first at both ends; equal edges are one)."""
-    points = F.array(*[F.lit(i / bins) for i in range(bins + 1)])
-    edges = df.agg(F.array_sort(F.array_distinct(F.percentile(value, points))).alias("e"))
+    edges = percentiles(df, value, [i / bins for i in range(bins + 1)]).select(F.array_sort(F.array_distinct("q")).alias("e"))
     b = F.size(F.filter("e", lambda x: x < F.col(value)))
     binned = df.filter(F.col(value).isNotNull()).crossJoin(F.broadcast(edges)).withColumn("bin", F.greatest(b, F.lit(1)) - 1)  # one row
     return binned.groupBy("bin").agg(F.count("*").alias("n"), F.avg(label).alias("rate"), F.min(value).alias("low"), F.max(value).alias("high"))
@@ -101,7 +101,9 @@ def common_support(df: DataFrame, score: str, label: str) -> DataFrame:
 def standardised(df: DataFrame, features: Sequence[str]) -> DataFrame:
     """Missing values become the median; then mean 0 and population deviation 1 (a deviation under 1e-8 counts as 1)."""
     f = lambda c: F.col(c).cast("double")
-    med = df.agg(*[F.percentile(f(c), F.lit(0.5)).alias(f"med_{c}") for c in features])
+    long = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), f(c).alias("value")) for c in features])).alias("f")).select("f.*")
+    per = percentiles(long, "value", [0.5], ["feature"])
+    med = per.agg(*[F.max(F.when(F.col("feature") == c, F.get("q", F.lit(0)))).alias(f"med_{c}") for c in features])
     filled = df.crossJoin(F.broadcast(med)).withColumns({c: F.coalesce(f(c), F.col(f"med_{c}")) for c in features}).drop(*med.columns)  # one row
     s = filled.agg(*[F.avg(c).alias(f"m_{c}") for c in features], *[F.stddev_pop(c).alias(f"s_{c}") for c in features])
     scaled = filled.crossJoin(F.broadcast(s))
@@ -161,7 +163,7 @@ def spearman(df: DataFrame, a: str, b: str, least: int = 20) -> DataFrame:
 
 def pearson(df: DataFrame, a: str, b: str) -> DataFrame:
     """One row: correlation with missing values as medians."""
-    med = df.agg(F.percentile(a, F.lit(0.5)).alias("ma"), F.percentile(b, F.lit(0.5)).alias("mb"))
+    med = percentiles(df, a, [0.5]).select(F.get("q", F.lit(0)).alias("ma")).crossJoin(percentiles(df, b, [0.5]).select(F.get("q", F.lit(0)).alias("mb")))  # one row each
     f = df.crossJoin(F.broadcast(med))  # one row
     return f.agg(F.corr(F.coalesce(F.col(a).cast("double"), "ma"), F.coalesce(F.col(b).cast("double"), "mb")).alias("r"))
 
@@ -180,13 +182,13 @@ def confounding_level(auroc: Column, support: Column, match_rate: Column) -> Col
 
 def probability_shift(scores: DataFrame, cohort: str, score: str = "score") -> DataFrame:
     """By cohort: median, mean, tails, and the share over 0.5."""
-    q = F.percentile(score, F.array(F.lit(0.05), F.lit(0.5), F.lit(0.95)))
-    return scores.groupBy(cohort).agg(F.count("*").alias("n"), F.avg(score).alias("mean"), q.alias("q"), F.avg((F.col(score) >= 0.5).cast("double")).alias("high_rate")).select(cohort, "n", "mean", F.col("q")[0].alias("p05"), F.col("q")[1].alias("median"), F.col("q")[2].alias("p95"), "high_rate")
+    out = scores.groupBy(cohort).agg(F.count("*").alias("n"), F.avg(score).alias("mean"), F.avg((F.col(score) >= 0.5).cast("double")).alias("high_rate"))
+    return with_percentiles(out, scores, score, {"p05": 0.05, "median": 0.5, "p95": 0.95}, [cohort]).select(cohort, "n", "mean", "p05", "median", "p95", "high_rate")
 
 
 def mode_ablation(long: DataFrame, base: str) -> DataFrame:
     """(cohort, mode, median, delta) against the base mode; and which mode moves a cohort most."""
-    m = long.groupBy("cohort", "mode").agg(F.percentile("score", F.lit(0.5)).alias("median"))
+    m = percentiles(long, "score", [0.5], ["cohort", "mode"]).select("cohort", "mode", F.get("q", F.lit(0)).alias("median"))
     b = m.filter(F.col("mode") == base).select("cohort", F.col("median").alias("of_base"))
     d = m.join(b, "cohort").withColumn("delta", F.col("median") - F.col("of_base"))
     w = W.partitionBy("cohort")

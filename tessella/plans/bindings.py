@@ -84,12 +84,12 @@ def features(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def grouped(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Leakage groups of the clean samples, tied by digest and by the first 64 characters, as a stand-in for a patient."""
+    """Leakage groups of the clean samples, tied by digest and by the digest of the text in lower case, as a stand-in for a patient."""
     from tessella.operators import curate, split
 
     own = samples(spark, sf_dir)
     decided = curate.decisions(own, POLICY)
-    heads = table(spark, sf_dir, "documents").select(F.concat_ws("::", "lang", F.col("doc_id").cast("string")).alias("sample_id"), F.md5(F.lower(F.substring("text", 1, 64))).alias("patient_id"))
+    heads = table(spark, sf_dir, "documents").select(F.concat_ws("::", "lang", F.col("doc_id").cast("string")).alias("sample_id"), F.md5(F.lower("text")).alias("patient_id"))
     raw = own.drop("patient_id").join(heads, "sample_id")
     policy = SplitPolicy(holdout_datasets=SPLIT.holdout_datasets, core_tasks=SPLIT.core_tasks, patient_datasets=("en", "fr", "de", "es"))
     return split.leakage_groups(curate.clean_samples(own, decided), decided, raw, policy)

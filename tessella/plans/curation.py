@@ -50,7 +50,7 @@ POOLS = DECISIONS + ", " + LABELS + """, units AS (
 )"""
 GROUPS = DECISIONS.replace("WITH", "") + """, edges AS (
   SELECT DISTINCT sample_id AS a, 'm' || md5 AS b FROM decisions WHERE keep
-  UNION SELECT DISTINCT d.canonical_sample_id, 'p' || d.dataset || md5(lower(substr(s.text, 1, 64))) FROM decisions d JOIN samples s USING (sample_id)
+  UNION SELECT DISTINCT d.canonical_sample_id, 'p' || d.dataset || md5(lower(s.text)) FROM decisions d JOIN samples s USING (sample_id)
 ), links AS (
   SELECT DISTINCT x.a, y.a AS b FROM edges x JOIN edges y USING (b)
 ), reach AS (
@@ -159,7 +159,7 @@ def k7_group_task_vectors(s, d):
 def k8_assign_splits(s, d):
     grouped = B.grouped(s, d)
     facts = split.usable_facts(B.labels(s, d), _assigned(s, d), B.SPLIT)
-    return split.assign_splits(split.split_groups(grouped), split.task_vectors(facts, grouped), B.SPLIT)
+    return split.assign_splits(split.split_groups(grouped), split.task_vectors(facts, grouped), B.SPLIT, split.group_datasets(grouped))
 
 
 def k9_effective_supervision(s, d):

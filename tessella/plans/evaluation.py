@@ -127,7 +127,7 @@ def p7_metadata_confounding(s, d):
 
 
 def p8_near_duplicates(s, d):
-    return stats.near_duplicates(B.table(s, d, "documents").join(B.table(s, d, "labels"), "doc_id").select(F.md5(F.substring("text", 1, 24)).alias("digest"), F.col("quality").alias("label")), "digest", "label")
+    return stats.near_duplicates(B.table(s, d, "documents").join(B.table(s, d, "labels"), "doc_id").select(F.md5(F.lower("text")).alias("digest"), F.col("quality").alias("label")), "digest", "label")
 
 
 def p9_common_support(s, d):
@@ -364,7 +364,7 @@ ORACLE_SQL = {
     "p6_strata_verdict": f"WITH {_BINS}, s AS (SELECT rate, rate - lag(rate) OVER (ORDER BY bin) AS step FROM strata), v AS (SELECT max(rate) - min(rate) AS span, coalesce(bool_and(step >= 0), true) OR coalesce(bool_and(step <= 0), true) AS monotone FROM s) SELECT round(span, 6) AS span, monotone, span >= 0.25 OR (monotone AND span >= 0.15) AS confounded FROM v",
     "p7_metadata_confounding": f"""WITH {FEATURES}, k AS (SELECT 'dataset' AS key, dataset AS "group", label FROM features UNION ALL SELECT 'source', source, label FROM features), n AS (SELECT key, "group", count(*) AS n, avg(label) AS rate FROM k GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY n DESC, "group") AS rk FROM n)
       SELECT key, "group", n, round(rate, 6) AS rate, n >= 10 AND (rate >= 0.95 OR rate <= 0.05) AS extreme FROM r WHERE rk <= 8""",
-    "p8_near_duplicates": """WITH g AS (SELECT count(*) AS n, count(DISTINCT quality) AS l FROM documents JOIN labels USING (doc_id) GROUP BY md5(substr(text, 1, 24)) HAVING count(*) > 1) SELECT count(*) AS n_groups, coalesce(sum(n), 0)::BIGINT AS n_samples, count(*) FILTER (l > 1) AS cross_label, count(*) FILTER (l <= 1) AS same_label, count(*) FILTER (l > 1) > 0 AS concern FROM g""",
+    "p8_near_duplicates": """WITH g AS (SELECT count(*) AS n, count(DISTINCT quality) AS l FROM documents JOIN labels USING (doc_id) GROUP BY md5(lower(text)) HAVING count(*) > 1) SELECT count(*) AS n_groups, coalesce(sum(n), 0)::BIGINT AS n_samples, count(*) FILTER (l > 1) AS cross_label, count(*) FILTER (l <= 1) AS same_label, count(*) FILTER (l > 1) > 0 AS concern FROM g""",
     "p9_common_support": f"""WITH {SCORES}, s AS (SELECT label, score + label * 0.25::DOUBLE AS x FROM scores), r AS (SELECT greatest(min(x) FILTER (label = 0), min(x) FILTER (label = 1)) AS low, least(max(x) FILTER (label = 0), max(x) FILTER (label = 1)) AS high FROM s)
       SELECT round(any_value(low), 6) AS low, round(any_value(high), 6) AS high, round(avg((x BETWEEN low AND high)::INTEGER) FILTER (label = 0), 6) AS rate0, round(avg((x BETWEEN low AND high)::INTEGER) FILTER (label = 1), 6) AS rate1, round(avg((x BETWEEN low AND high)::INTEGER), 6) AS rate FROM s, r""",
     "p10_caliper_candidates": f"""WITH {FEATURES}, m AS (SELECT avg(chars) AS a, stddev_pop(chars) AS b, avg(lines) AS c, stddev_pop(lines) AS d, avg(stops) AS e, stddev_pop(stops) AS f FROM features), z AS (SELECT sample_id, label, (chars - a) / b AS x, (lines - c) / d AS y, (stops - e) / f AS w FROM features, m),

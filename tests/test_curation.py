@@ -153,3 +153,53 @@ def test_policies_are_checked():
     o = Ontology("1", {"t": ("binary", ("a", "b")), "u": ("odd", ())})
     assert len(o.problems()) == 2
     assert mapping_problems(o, {"k": MappingItem("t", "c"), "l": MappingItem("v", "a", status="needs_review")}, strict=True) == ["k: unknown label c of t", "l: needs review", "l: unknown task v"]
+
+
+def _placed(groups, vectors, datasets, ratios, seed):
+    """The rule by its definition: each group goes where the sum of all penalties is least."""
+    import hashlib
+
+    names, mark = list(ratios), lambda t: int(hashlib.md5(f"{seed}::{t}".encode()).hexdigest()[:16], 16)
+    whole, facts, data = sum(groups.values()), {}, {}
+    for g, own in vectors.items():
+        for f, n in own.items():
+            facts.setdefault(f, {})[g] = n
+    for own in datasets.values():
+        for x, n in own.items():
+            data[x] = data.get(x, 0) + n
+    rarity = lambda g: min((sum(facts[f].values()) for f in vectors.get(g, {})), default=10**9)
+    size = dict.fromkeys(names, 0)
+    held = {s: {} for s in names}
+    out = {}
+    for g in sorted(groups, key=lambda g: (rarity(g), -groups[g], mark(g))):
+        best = None
+        for i, s in enumerate(names):
+            score = 2 * sum(abs((size[t] + (t == s) * groups[g]) / whole - ratios[t]) for t in names)
+            for weight, own, totals in ((1, vectors.get(g, {}), {f: sum(x.values()) for f, x in facts.items()}), (1.5, datasets[g], data)):
+                score += weight * sum(abs(held[t].get(k, 0) + (t == s) * n - ratios[t] * totals[k]) / totals[k] for k, n in own.items() for t in names)
+            for f in vectors.get(g, {}):
+                score -= 0.5 * (len(facts[f]) == 1 and s == "train") + 0.2 * (len(facts[f]) == 2 and s in ("train", "val"))
+            if best is None or (round(score, 9), mark(f"{g}::{s}"), i) < best:
+                best = (round(score, 9), mark(f"{g}::{s}"), i)
+        s = out[g] = names[best[2]]
+        size[s] += groups[g]
+        for own in (vectors.get(g, {}), datasets[g]):
+            for k, n in own.items():
+                held[s][k] = held[s].get(k, 0) + n
+    return out
+
+
+def test_groups_of_several_datasets_are_balanced_by_each(spark):
+    import random
+
+    r = random.Random(1)
+    datasets = {f"grp::{i}": {d: r.randint(1, 4) for d in r.sample(["x", "y", "z"], r.randint(1, 3))} for i in range(120)}
+    groups = {g: sum(own.values()) for g, own in datasets.items()}
+    vectors = {g: {f"f{r.randint(0, 9)}": r.randint(1, 3)} for g in list(groups)[:70]}
+    vectors["grp::3"] = {"rare": 1}
+    policy = SplitPolicy()
+    table = spark.createDataFrame([(g, n, "|".join(sorted(datasets[g])), None) for g, n in groups.items()], "split_group_id string, n_samples long, datasets string, forced_split string")
+    facts = spark.createDataFrame([(g, f, n) for g, own in vectors.items() for f, n in own.items()], "split_group_id string, fact string, n long")
+    parts = spark.createDataFrame([(g, d, n) for g, own in datasets.items() for d, n in own.items()], "split_group_id string, dataset string, n long")
+    got = {x.split_group_id: x.split for x in split.assign_splits(table, facts, policy, parts).collect()}
+    assert got == _placed(groups, vectors, datasets, policy.ratios, policy.seed)

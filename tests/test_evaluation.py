@@ -146,3 +146,38 @@ def test_arrays_and_rows_decide_alike(spark):
     layers, sources = {"1": ["a"], "2": ["a", "b"]}, {"left": ["a"], "right": ["b", "c"]}
     assert sorted(map(tuple, gate.ablation(rows, layers).collect())) == sorted(map(tuple, gate.ablation_arrays(arrays, layers).collect()))
     assert sorted(map(tuple, gate.attribution(rows, sources).collect())) == sorted(map(tuple, gate.attribution_arrays(arrays, sources).collect()))
+
+
+def test_completeness_is_of_active_checks_only(spark):
+    df = spark.createDataFrame([("a", 1.0, 1.0), ("b", None, 1.0), ("c", 5.0, None), ("d", 0.0, 3.0)], "sample_id string, x double, y double")
+    checks = [*GATE, gate.three_state("later", "y", 1.5, 2.5, "Y", deferred=True), gate.Check("off", (gate.Rule("y", ">", 0.0, "retake", "O"),), enabled=False), gate.Check("y", (gate.Rule("y", ">", 9.0, "warning", "Z"),), needs=F.col("y") < 2)]
+    wide = {r.sample_id: r for r in gate.decide_arrays(gate.evaluated(df, checks), ["A"]).collect()}
+    rows = gate.evaluate(df, checks)
+    assert {k: tuple(r) for k, r in wide.items()} == {r.sample_id: tuple(r) for r in gate.decide(rows, ["A"]).collect()}
+    assert {k: r.evaluation_complete for k, r in wide.items()} == {"a": True, "b": False, "c": False, "d": False}
+    assert {r.why: r.n for r in gate.incomplete_reasons(rows).collect()} == {"complete": 1, "not_evaluated": 1, "unavailable": 2}
+    assert {r.why: r.n for r in gate.unavailable_counts(gate.evaluated(df, checks), ["y"]).collect()} == {"y_unavailable": 2, "other": 1}
+    nothing = {r.sample_id: r.evaluation_complete for r in gate.decide_arrays(gate.evaluated(df, checks[:1]), nothing="a").collect()}
+    assert nothing == {"a": True, "b": False, "c": True, "d": False}
+
+
+def test_percentiles_and_neighbours(spark):
+    import numpy as np
+
+    from tessella.operators import order
+
+    r = np.random.default_rng(3)
+    rows = [("a", float(x)) for x in r.integers(0, 40, 300)] + [("b", float(x)) for x in r.normal(size=77)] + [("c", 5.0), ("d", None), (None, 1.0), (None, 2.0)]
+    df = spark.createDataFrame(rows, "g string, v double")
+    points = [0, 0.01, 0.33, 0.5, 0.95, 1]
+    got = {x.g: x.q for x in order.percentiles(df, "v", points, ["g"]).collect()}
+    for g in ("a", "b", "c", None):
+        assert np.allclose(got[g], np.percentile([v for k, v in rows if k == g], [100 * p for p in points]))
+    assert got["d"] == [None] * 6
+    assert np.allclose(order.percentiles(df, "v", points).first().q, np.percentile([v for _, v in rows if v is not None], [100 * p for p in points]))
+    assert order.percentiles(df.limit(0), "v", [0.5]).first().q == [None]
+    single = df.filter("v is not null").distinct()
+    after = {(x.g, x.v): x.n for x in order.following(single, ["g"], "v", "n").collect()}
+    for g in ("a", "b", "c", None):
+        vs = sorted({v for k, v in rows if k == g})
+        assert [after[g, v] for v in vs] == [*vs[1:], None]
