@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessella.plans import curation, evaluation
+from tessella.plans import curation, evaluation, gate_checks, more
 
-QUERIES = curation.QUERIES | evaluation.QUERIES
-ORACLE_SQL = curation.ORACLE_SQL | evaluation.ORACLE_SQL
+PLANS = (curation, evaluation, gate_checks, more)
+QUERIES = {name: query for plan in PLANS for name, query in plan.QUERIES.items()}
+ORACLE_SQL = {name: sql for plan in PLANS for name, sql in plan.ORACLE_SQL.items()}
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

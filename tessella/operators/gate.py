@@ -7,7 +7,7 @@ not evaluated, or is unavailable, has no effect and is no pass. Effects rank pas
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -202,6 +202,7 @@ class Evaluated:
     names: Sequence[str]
     active: Sequence[bool]
     reasons: Sequence[str]
+    kept: Sequence[str] = ()
 
     def of(self, only: Sequence[str] | None) -> list[int]:
         return [i for i, n in enumerate(self.names) if only is None or n in only]
@@ -211,8 +212,8 @@ class Evaluated:
         return F.coalesce(F.greatest(*levels, *levels[:1]), F.lit(0)) if levels else F.lit(0)
 
 
-def evaluated(features: DataFrame, checks: Sequence[Rated], key: str = "sample_id") -> Evaluated:
-    """All checks of each sample in columns of numbers: one pass over the features in generated code."""
+def evaluated(features: DataFrame, checks: Sequence[Rated], key: str = "sample_id", keep: Sequence[str] = ()) -> Evaluated:
+    """All checks of each sample in columns of numbers: one pass over the features in generated code. keep: columns that stay."""
     parts = [c.parts() for c in checks]
     reasons = list(dict.fromkeys(r for p in parts for _, r in p.reasons))
     columns = []
@@ -221,15 +222,18 @@ def evaluated(features: DataFrame, checks: Sequence[Rated], key: str = "sample_i
         columns.append((F.when(done, p.level) if c.active else F.lit(None).cast("int")).alias(f"l{i}"))
         columns.append((F.when(done & (p.level > 0), _first(p.reasons, reasons.index)) if c.active else F.lit(None).cast("int")).alias(f"r{i}"))
         columns.append((p.state == "unavailable" if c.active else F.lit(False)).alias(f"u{i}"))
-    return Evaluated(features.select(F.col(key).alias("sample_id"), *columns), [c.name for c in checks], [c.active for c in checks], reasons)
+    return Evaluated(features.select(F.col(key).alias("sample_id"), *keep, *columns), [c.name for c in checks], [c.active for c in checks], reasons, keep)
 
 
 def _name(worst: Column) -> Column:
     return F.when(worst == 2, "retake").when(worst == 1, "warning").otherwise("pass")
 
 
-def decide_arrays(samples: Evaluated, priority: Sequence[str] = (), only: Sequence[str] | None = None, nothing: str | None = None) -> DataFrame:
-    """As decide(), for evaluated() samples: each decision is made within its row, so nothing is shuffled."""
+def decide_arrays(samples: Evaluated, priority: Sequence[str] = (), only: Sequence[str] | None = None, nothing: str | None = None, before: Sequence[str] | None = None) -> DataFrame:
+    """As decide(), for evaluated() samples: each decision is made within its row, so nothing is shuffled.
+
+    nothing: a check whose retake means that there is nothing to evaluate; before: checks whose decision alone is named too.
+    """
     some = samples.of(only)
     names = [*priority, *[r for r in samples.reasons if r not in priority]]
     place = F.array(*[F.lit(names.index(r)) for r in samples.reasons]) if samples.reasons else F.array().cast("array<int>")
@@ -243,7 +247,8 @@ def decide_arrays(samples: Evaluated, priority: Sequence[str] = (), only: Sequen
     complete = _all(F.col(f"l{i}").isNotNull() for i, on in enumerate(samples.active) if on)
     if nothing is not None:
         complete = complete & ~(_any(F.col(f"l{i}") == 2 for i in samples.of([nothing])) & (F.col("worst") == 2))
-    return wide.select("sample_id", _name(F.col("worst")).alias("decision"), first.alias("primary_reason"), reasons.alias("reasons"), (F.col("worst") < 2).alias("usable"), F.coalesce(complete, F.lit(False)).alias("evaluation_complete"))
+    earlier = [] if before is None else [_name(samples.worst(before)).alias("before")]
+    return wide.select("sample_id", _name(F.col("worst")).alias("decision"), first.alias("primary_reason"), reasons.alias("reasons"), (F.col("worst") < 2).alias("usable"), F.coalesce(complete, F.lit(False)).alias("evaluation_complete"), *samples.kept, *earlier)
 
 
 def ablation_arrays(samples: Evaluated, layers: dict[str, Sequence[str]]) -> DataFrame:
@@ -372,9 +377,10 @@ def integrity(rows: DataFrame, decided: DataFrame) -> DataFrame:
     return decided.join(worst, "sample_id").filter(own != F.col("w")).select("sample_id", "decision")
 
 
-def newly_rejected(before: DataFrame, after: DataFrame) -> DataFrame:
-    """Samples that the first decisions let pass and the second do not."""
-    return after.filter("decision = 'retake'").join(before.filter("decision <> 'retake'").select("sample_id", F.col("decision").alias("before")), "sample_id")
+def newly_rejected(samples: Evaluated, before: Sequence[str], priority: Sequence[str] = ()) -> DataFrame:
+    """Samples that some checks alone let pass, and all checks together do not."""
+    some = replace(samples, rows=samples.rows.filter((samples.worst() == 2) & (samples.worst(before) < 2)))
+    return decide_arrays(some, priority, before=before)
 
 
 def ready(checks: Sequence[Rated], calibrated: Sequence[str]) -> tuple[bool, bool]:
