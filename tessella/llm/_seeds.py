@@ -112,7 +112,8 @@ def send_anchors(units: Callable, k: int, w: int, buckets: int, chunk: int):
                 text, left, right = seq.contexts(at, k, w)
                 around = X.mix((left * w + right).astype(np.uint64))
                 contexts = [seq.hashes(at - left, at + k + right, kind) ^ around for kind in (0, 1)]
-                held.append((row[a + text], doc[a + text], seq.gram[at], at - seq.first[text], *contexts))
+                # anchors are least hashes, so ranges of those would be far from equal
+                held.append((row[a + text], doc[a + text], X.mix(seq.gram[at] ^ X.KIND[0]), at - seq.first[text], *contexts))
                 if sum(len(x[0]) for x in held) >= max(FLUSH, FLUSH_BUCKET * buckets):
                     yield from _scatter(held, buckets)
                     held = []

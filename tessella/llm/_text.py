@@ -40,13 +40,16 @@ def utf8(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
         column = column.combine_chunks()
         if isinstance(column, pa.ChunkedArray):
             column = pa.concat_arrays(column.chunks) if column.num_chunks else pa.array([], pa.large_string())
-    column = column.cast(pa.large_binary() if pa.types.is_binary(column.type) or pa.types.is_large_binary(column.type) else pa.large_string())
+    kind = column.type
+    if not (pa.types.is_string(kind) or pa.types.is_binary(kind) or pa.types.is_large_string(kind) or pa.types.is_large_binary(kind)):
+        column = column.cast(pa.large_string())
     if column.null_count:
-        column = column.fill_null(b"" if pa.types.is_large_binary(column.type) else "")
+        column = column.fill_null(b"" if pa.types.is_binary(kind) or pa.types.is_large_binary(kind) else "")
     if not len(column):
         return np.zeros(0, np.uint8), np.zeros(1, np.int64)
-    _, off, data = column.buffers()
-    off = np.frombuffer(off, np.int64)[column.offset : column.offset + len(column) + 1]
+    _, off, data = column.buffers()  # the texts themselves are not copied
+    width = np.int32 if pa.types.is_string(column.type) or pa.types.is_binary(column.type) else np.int64
+    off = np.frombuffer(off, width)[column.offset : column.offset + len(column) + 1].astype(np.int64)
     data = np.frombuffer(data, np.uint8)[off[0] : off[-1]] if data is not None and len(data) else np.zeros(0, np.uint8)
     return data, off - off[0]
 
