@@ -1,8 +1,10 @@
 """Suffix sorting by the deep-shallow method, for suffixes that start in groups and end at their own limit.
 
-Shallow: multikey quicksort whose character is seven bytes, on all groups at once, to `SHALLOW` bytes. Deep: what still
-agrees there goes through a blind trie for each group; a suffix goes down by the branching bytes alone, is compared with
-one leaf, and enters at the first place of difference.
+Shallow: multikey quicksort whose character is seven bytes. Every segment of suffixes that agree so far picks a pivot, the
+median of three drawn characters, and parts into those below, equal and above; the equal ones go on at the next character,
+up to `SHALLOW` bytes. All segments of all groups are parted in the same step. Deep: what still agrees there goes through
+a blind trie for each group; a suffix goes down by the branching bytes alone, is compared with one leaf, and enters at the
+first place of difference.
 """
 
 from __future__ import annotations
@@ -66,6 +68,31 @@ def blind_trie(strings: list[bytes]) -> list[int]:
     return out
 
 
+def _quicksort(text: np.ndarray, start: np.ndarray, length: np.ndarray, order: np.ndarray, first: np.ndarray) -> None:
+    """Parts the segments that `first` begins until each has suffixes that agree in SHALLOW bytes, or one suffix."""
+    begin = np.flatnonzero(first)
+    size, depth, draw = np.diff(np.append(begin, len(order))), np.zeros(len(begin), np.int64), np.random.default_rng(len(order))
+    while True:
+        go = (size > 1) & (depth < SHALLOW)
+        begin, size, depth = begin[go], size[go], depth[go]
+        if not len(begin):
+            return
+        of = np.repeat(np.arange(len(begin)), size)
+        base = np.cumsum(size) - size
+        at = np.arange(len(of)) + np.repeat(begin - base, size)
+        i = order[at]
+        c = _characters(text, start[i] + depth[of], length[i] - depth[of])
+        x, y, z = (c[base + (draw.random(len(size)) * size).astype(np.int64)] for _ in range(3))
+        pivot = np.maximum(np.minimum(x, y), np.minimum(np.maximum(x, y), z))[of]
+        part = 3 * of + 1 + (c > pivot) - (c < pivot)
+        order[at] = i[np.argsort(part, kind="stable")]
+        size = np.bincount(part, minlength=3 * len(begin))
+        begin = np.repeat(begin, 3) + np.cumsum(size) - size - np.repeat(base, 3)
+        depth = np.repeat(depth, 3)
+        depth[1::3] += CHARACTER
+        first[begin[size > 0]] = True
+
+
 def sort(text: np.ndarray, start: np.ndarray, length: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The order of the suffixes text[start : start + length] within their groups, groups in order; and of each place in
     it the common prefix with the place before, -1 at a group's first."""
@@ -74,18 +101,7 @@ def sort(text: np.ndarray, start: np.ndarray, length: np.ndarray, group: np.ndar
     first = np.ones(n, bool)
     first[1:] = group[order][1:] != group[order][:-1]
     head = first.copy()
-    for depth in range(0, SHALLOW, CHARACTER):
-        alone = first & np.append(first[1:], True)
-        at = np.flatnonzero(~alone)
-        if not len(at):
-            break
-        of = np.cumsum(first)[at]
-        i = order[at]
-        c = _characters(text, start[i] + depth, length[i] - depth)
-        by = np.lexsort((c, of))
-        order[at] = i[by]
-        c = c[by]
-        first[at[1:]] |= c[1:] != c[:-1]
+    _quicksort(text, start, length, order, first)
     at = np.flatnonzero(first)
     size = np.diff(np.append(at, n))
     buffer = text.tobytes()

@@ -70,3 +70,34 @@ def test_deep_shallow_sort(items):
 
 def test_empty_table(odd_docs):
     assert suffix_dedup.removed(odd_docs.limit(0)).count() == 0
+
+
+def test_anchors_are_dealt_evenly():
+    """Anchors are least hashes, and must not all lie in the first ranges of buckets."""
+    import pyarrow as pa
+
+    from tessella.llm import _seeds, _spark
+
+    r = np.random.default_rng(0)
+    text = r.integers(97, 123, 400_000, dtype=np.uint8).tobytes().decode()
+    batch = pa.RecordBatch.from_arrays([pa.array([1]), pa.array([text]), pa.array([5])], names=["doc_id", "text", "key"])
+    for units, k, w in ((suffix_dedup._bytes, 32, 169), (suffix_dedup._bytes, 12, 20)):
+        sizes = Counter()
+        for out in _seeds.send_anchors(units, k, w, 16, 1 << 20)(iter([batch])):
+            for bucket, places in zip(out.column("bucket").to_pylist(), out.column("places").to_pylist(), strict=True):
+                sizes[bucket] += len(_spark.unplanes(places, np.uint32))
+        assert len(sizes) == 16 and max(sizes.values()) < 1.5 * sum(sizes.values()) / 16
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 3), st.text("ab", max_size=30)), min_size=1, max_size=200))
+def test_multikey_quicksort_parts_at_the_shallow_depth(items):
+    text = np.frombuffer("".join(s for _, s in items).encode() + b"x", np.uint8)
+    size = np.array([len(s) for _, s in items])
+    group = np.array([g for g, _ in items])
+    order = np.argsort(group, kind="stable")
+    first = np.append(True, group[order][1:] != group[order][:-1])
+    _suffix._quicksort(text, np.cumsum(size) - size, size, order, first)
+    got = [(items[i][0], items[i][1][: _suffix.SHALLOW]) for i in order]
+    assert got == sorted(got)
+    assert [j for j in range(len(got)) if first[j]] == [j for j in range(len(got)) if j == 0 or got[j] != got[j - 1]]
