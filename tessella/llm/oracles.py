@@ -75,10 +75,32 @@ SELECT doc_id, len(words)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_remove
 FROM w LEFT JOIN gone USING (doc_id) LEFT JOIN left_over USING (doc_id)
 """
 
+OP7_SQL = """
+WITH d AS (
+  SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents
+), n AS (
+  SELECT doc_id, h, length(h) // 2 AS n_bytes FROM d
+), piece AS (
+  SELECT doc_id, n_bytes, p, substr(h, p * 2000 + 1, 2398) AS s FROM n, unnest(range(0, (n_bytes + 999) // 1000)) AS t(p)
+), win AS (
+  SELECT doc_id, p * 1000 + i AS place, md5(substr(s, 2 * i + 1, 400)) AS w FROM piece, unnest(range(0, least(1000, n_bytes - 199 - p * 1000))) AS t(i)
+), twice AS (
+  SELECT doc_id, place, lag(place) OVER (PARTITION BY doc_id ORDER BY place) AS before FROM (SELECT *, count(*) OVER (PARTITION BY w) AS c FROM win) WHERE c > 1
+), spans AS (
+  SELECT doc_id, min(place) AS a, max(place) + 200 AS b FROM (SELECT *, sum((before IS NULL OR place > before + 200)::INT) OVER (PARTITION BY doc_id ORDER BY place) AS g FROM twice) GROUP BY doc_id, g
+), held AS (
+  SELECT doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS after FROM spans
+), gone AS (
+  SELECT doc_id, sum(b - a)::BIGINT AS n_removed, count(*) AS n_spans, string_agg(substr(h, 2 * after + 1, 2 * (a - after)), '' ORDER BY a) || substr(any_value(h), 2 * max(b) + 1) AS kept FROM held JOIN n USING (doc_id) GROUP BY doc_id
+)
+SELECT doc_id, n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, h))) AS kept_sha256 FROM n LEFT JOIN gone USING (doc_id)
+"""
+
 ORACLE_SQL = {
     "op1_ngram_jaccard_join": OP1_SQL,
     "op2_mixing_sources": OP2_SQL,
     "op3_quality_rules": OP3_SQL,
+    "op7_suffix_array_dedup": OP7_SQL,
     "op8_substring_dedup": OP8_SQL,
     "op9_nearest_neighbours": OP9_SQL,
 }
