@@ -93,7 +93,7 @@ WITH sizes AS (
 ), rates AS (
   SELECT source, 1.0::DOUBLE * (SELECT sum(size) FROM shares)::DOUBLE * share / (SELECT sum(share) FROM shares) / size AS rate FROM shares
 ), points AS (
-  SELECT source, k, exp(-rate + k * ln(rate) - lgamma(k + 1)) AS p FROM rates, generate_series(0, 200) AS g(k)
+  SELECT source, k, exp(-rate + k * ln(rate) - lgamma(k + 1)) AS p FROM rates, generate_series(0, (SELECT ceil(max(rate) + 12 * sqrt(max(rate)) + 30)::BIGINT FROM rates)) AS g(k)
 ), cdf AS (
   SELECT source, k, sum(p) OVER (PARTITION BY source ORDER BY k) AS c FROM points
 ), drawn AS (
