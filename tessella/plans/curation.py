@@ -281,3 +281,38 @@ ORACLE_SQL = {
     "i4_source_overlap": """WITH a AS (SELECT DISTINCT md5(text) AS md5 FROM documents WHERE source = 'src0'), b AS (SELECT DISTINCT md5(text) AS md5 FROM documents WHERE source = 'src1')
       SELECT md5, 'both' AS side FROM a SEMI JOIN b USING (md5) UNION ALL SELECT md5, 'first' FROM a ANTI JOIN b USING (md5) UNION ALL SELECT md5, 'second' FROM b ANTI JOIN a USING (md5)""",
 }
+
+_HEAD, _TAIL = ORACLE_SQL["k7_group_task_vectors"].split(" SELECT split_group_id, f.canonical_task", 1)
+
+
+def _away(held: str, whole: str) -> str:
+    """Of a choice s: how far the counts of the splits are from their shares, over the whole. held: with place t."""
+    return f"list_sum(list_transform([1, 2, 3], lambda t: abs({held} - [0.8::DOUBLE, 0.1, 0.1][t] * {whole}))) / {whole}"
+
+
+#: Groups one after another, in order of their rarest fact; each goes where the sum of all penalties is least.
+ORACLE_SQL["k8_assign_splits"] = f"""{_HEAD}, vec AS (SELECT split_group_id, f.canonical_task{_TAIL}
+), free AS (SELECT split_group_id AS g, count(*)::DOUBLE AS n FROM grouped WHERE forced_split IS NULL GROUP BY 1
+), own AS (SELECT v.* FROM vec v JOIN free ON g = split_group_id
+), of_fact AS (SELECT fact, sum(n)::DOUBLE AS total, count(*) AS holders FROM own GROUP BY fact
+), in_data AS (SELECT split_group_id AS g, dataset, count(*)::DOUBLE AS n FROM grouped WHERE forced_split IS NULL GROUP BY ALL
+), of_data AS (SELECT dataset, sum(n) AS total FROM in_data GROUP BY dataset
+), dense AS (SELECT g, list(coalesce(own.n, 0)::DOUBLE ORDER BY of_fact.fact) AS v, min(CASE WHEN own.n > 0 THEN total END) AS rarity FROM free CROSS JOIN of_fact LEFT JOIN own ON own.split_group_id = g AND own.fact = of_fact.fact GROUP BY g
+), sides AS (SELECT free.g AS g, list(coalesce(in_data.n, 0) ORDER BY of_data.dataset) AS x FROM free CROSS JOIN of_data LEFT JOIN in_data ON in_data.g = free.g AND in_data.dataset = of_data.dataset GROUP BY free.g
+), ordered AS (SELECT *, row_number() OVER (ORDER BY coalesce(rarity, 1e9), n DESC, substr(md5('20260813::' || g), 1, 16), g) AS k FROM free JOIN dense USING (g) JOIN sides USING (g)
+), one AS (SELECT (SELECT sum(n) FROM free) AS whole, (SELECT list(total ORDER BY fact) FROM of_fact) AS tf, (SELECT list(holders ORDER BY fact) FROM of_fact) AS hf, (SELECT list(total ORDER BY dataset) FROM of_data) AS td
+), step AS (
+  SELECT 0::BIGINT AS k, [0::DOUBLE, 0, 0] AS size, (SELECT list_transform([1, 2, 3], lambda t: list_transform(tf, lambda z: 0::DOUBLE)) FROM one) AS fs, (SELECT list_transform([1, 2, 3], lambda t: list_transform(td, lambda z: 0::DOUBLE)) FROM one) AS ds, 0 AS choice
+  UNION ALL
+  SELECT k, list_transform([1, 2, 3], lambda t: size[t] + CASE WHEN t = c THEN n ELSE 0 END), list_transform([1, 2, 3], lambda t: CASE WHEN t = c THEN list_transform(v, lambda a, j: fs[t][j] + a) ELSE fs[t] END), list_transform([1, 2, 3], lambda t: CASE WHEN t = c THEN list_transform(x, lambda a, j: ds[t][j] + a) ELSE ds[t] END), c
+  FROM (
+    SELECT o.k, o.n, o.v, o.x, s.size, s.fs, s.ds, list_sort(list_transform([1, 2, 3], lambda s_: {{
+      'a': round(2 * {_away("(s.size[t] + CASE WHEN t = s_ THEN o.n ELSE 0 END)", "whole")}
+        + list_sum(list_transform(o.v, lambda a, j: CASE WHEN a > 0 THEN {_away("(s.fs[t][j] + CASE WHEN t = s_ THEN a ELSE 0 END)", "tf[j]")} - CASE WHEN hf[j] = 1 AND s_ = 1 THEN 0.5 WHEN hf[j] = 2 AND s_ <= 2 THEN 0.2 ELSE 0 END ELSE 0 END))
+        + 1.5 * list_sum(list_transform(o.x, lambda a, j: CASE WHEN a > 0 THEN {_away("(s.ds[t][j] + CASE WHEN t = s_ THEN a ELSE 0 END)", "td[j]")} ELSE 0 END)), 9),
+      'b': substr(md5('20260813::' || o.g || '::' || ['train', 'val', 'test'][s_]), 1, 16), 'c': s_}}))[1].c AS c
+    FROM step s JOIN ordered o ON o.k = s.k + 1 CROSS JOIN one
+  )
+)
+SELECT g AS split_group_id, ['train', 'val', 'test'][choice] AS split, 'stratified' AS split_reason FROM step JOIN ordered USING (k)
+UNION ALL SELECT split_group_id, max(forced_split), 'forced' FROM grouped GROUP BY 1 HAVING max(forced_split) IS NOT NULL"""

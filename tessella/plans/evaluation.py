@@ -139,7 +139,7 @@ def p10_caliper_candidates(s, d):
 
 
 def p10_caliper_matching(s, d):
-    return stats.matched(stats.caliper_candidates(B.features(s, d), ["chars", "lines", "stops"], "label", 0.3))
+    return _rounded(stats.matched(stats.caliper_candidates(B.features(s, d), ["chars", "lines", "stops"], "label", 0.3)), "distance")
 
 
 def p13_centroid_distances(s, d):
@@ -407,3 +407,9 @@ ORACLE_SQL = {
       SELECT domain, round(now, 6) AS now, round(before, 6) AS before, round(now - before, 6) AS delta, CASE WHEN now - before IS NULL THEN 'missing' WHEN now - before < -0.01 THEN 'failed' WHEN now - before < -0.001 THEN 'warning' ELSE 'ok' END AS status FROM x""",
     "i2_star_revenue": """SELECT r_name, year(o_orderdate)::INTEGER AS year, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue, count(*) AS n FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY ROLLUP (r_name, 2)""",
 }
+#: Positives one after another, each with its nearest negative that is not used yet.
+ORACLE_SQL["p10_caliper_matching"] = f"""WITH RECURSIVE c AS ({ORACLE_SQL["p10_caliper_candidates"].replace("round(distance, 6) AS distance", "distance")}),
+  pos AS (SELECT positive, row_number() OVER (ORDER BY positive) AS k FROM (SELECT DISTINCT positive FROM c)), own AS (SELECT k, list({{'n': negative, 'd': distance}} ORDER BY distance, negative) AS options FROM c JOIN pos USING (positive) GROUP BY k),
+  step AS (SELECT 0::BIGINT AS k, []::VARCHAR[] AS used, NULL::VARCHAR AS negative, NULL::DOUBLE AS distance
+    UNION ALL SELECT o.k, CASE WHEN len(o.free) > 0 THEN list_append(used, o.free[1].n) ELSE used END, o.free[1].n, o.free[1].d FROM (SELECT s.used, own.k, list_filter(own.options, lambda x: NOT list_contains(s.used, x.n)) AS free FROM step s JOIN own ON own.k = s.k + 1) o)
+  SELECT positive, negative, round(distance, 6) AS distance FROM step JOIN pos USING (k) WHERE negative IS NOT NULL"""
