@@ -245,7 +245,7 @@ def _records(percent: int):
         who, key, df = who[fit], key[fit], df[fit]
         order = np.lexsort((key, who))
         who, key, df = who[order], key[order], df[order]
-        by_df = np.lexsort((key, df, who))
+        by_df = np.lexsort((X.mix(key ^ X.KIND[0]), df, who))  # not by the hash itself, whose least values would all be in the first buckets
         out: dict[str, list] = {c.split()[0]: [] for c in RECORD.split(", ")}
         ids = np.flatnonzero((q > 0) & (m > 0))
         first = np.searchsorted(who, ids)
