@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from itertools import product
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -147,6 +148,36 @@ def matched(candidates: DataFrame) -> DataFrame:
     return named.select("root", *candidates.columns).groupBy("root").applyInPandas(lambda pairs: next(_greedy(iter([pairs]))), schema)
 
 
+def caliper_matches(df: DataFrame, features: Sequence[str], label: str, caliper: float, key: str = "sample_id") -> DataFrame:
+    """matched(caliper_candidates(...)) without the table of pairs, which grows with the square of the rows of a dense place.
+
+    Cells of the caliper's width are linked where they can hold a pair, and all cells of a key; each component of cells is
+    matched in one task, which holds the points of its negatives and reads its positives as a stream, in order of keys.
+    """
+    from tessella.operators.graph import checkpointed, connected
+    from tessella.operators.matching import Greedy
+
+    z = standardised(checkpointed(df.select(key, label, *features)), features)
+    z = z.filter(F.col(key).isNotNull() & F.col(label).isin(0, 1)).select((F.col(label) == 1).cast("int").alias("side"), F.col(key).alias("key"), *[F.col(c).alias(f"f{i}") for i, c in enumerate(features)])
+    names = z.columns[2:]
+    for c in names:
+        z = z.filter(~F.isnan(c) & (F.abs(c) < float("inf")))
+    width = caliper * (1 + 1e-6) or 1.0  # wider than the caliper by more than a quotient is rounded
+    spans = names[:3]
+    z = z.withColumn("cell", F.array(*[F.floor(F.col(c) / width).cast("long") for c in spans]))
+    node = lambda side, cell: F.concat(F.when(F.col(side) == 1, "p").otherwise("n"), F.array_join(F.col(cell).cast("array<string>"), ","))
+    z = checkpointed(z.withColumn("node", node("side", "cell")))
+    cells = z.select("side", "cell", "node").distinct()
+    around = F.array(*[F.array(*[F.lit(o).cast("long") for o in off]) for off in product((-1, 0, 1), repeat=len(spans))])
+    pos = cells.filter("side = 1").select(F.col("node").alias("a"), "cell", F.explode(around).alias("off")).select("a", F.zip_with("cell", "off", lambda x, y: x + y).alias("cell"))
+    edges = pos.join(cells.filter("side = 0").select(F.col("node").alias("b"), "cell"), "cell").select("a", "b")
+    several = z.groupBy("side", "key").agg(F.min("node").alias("b"), F.max("node").alias("other")).filter("b <> other").drop("other")
+    edges = edges.unionByName(z.join(several, ["side", "key"]).select(F.col("node").alias("a"), "b"))
+    rows = z.join(connected(edges), "node").select("root", "side", "key", *names).repartition("root").sortWithinPartitions("root", "side", "key")
+    kind = z.schema["key"].dataType.simpleString()
+    return rows.mapInArrow(Greedy(caliper).match, f"positive {kind}, negative {kind}, distance double")
+
+
 def ranks(df: DataFrame, value: str, name: str) -> DataFrame:
     """Average ranks, by counts of distinct values."""
     n = df.filter(F.col(value).isNotNull()).groupBy(value).agg(F.count("*").alias("c"))

@@ -74,12 +74,15 @@ def scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Numbers about labelled texts."""
-    d = table(spark, sf_dir, "documents")
+    """Numbers about labelled texts. They are taken before the join, which then moves no text."""
+    d = table(spark, sf_dir, "documents").select(
+        "doc_id", "lang", "source", "n_chars", F.size(F.split("text", " ")).cast("double").alias("words"), F.size(F.split("text", "\n")).cast("double").alias("lines"),
+        F.length(F.regexp_replace("text", "[^.,]", "")).alias("stops"),
+    )
     known = d.join(table(spark, sf_dir, "labels"), "doc_id")
     return known.select(
         F.col("doc_id").cast("string").alias("sample_id"), F.col("doc_id"), F.col("lang").alias("dataset"), "source", F.col("quality").alias("label"), F.col("n_chars").cast("double").alias("chars"),
-        F.size(F.split("text", " ")).cast("double").alias("words"), F.size(F.split("text", "\n")).cast("double").alias("lines"), (F.length(F.regexp_replace("text", "[^.,]", "")) / F.col("n_chars")).alias("stops"),
+        "words", "lines", (F.col("stops") / F.col("n_chars")).alias("stops"),
     )
 
 

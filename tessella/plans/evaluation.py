@@ -139,7 +139,7 @@ def p10_caliper_candidates(s, d):
 
 
 def p10_caliper_matching(s, d):
-    return _rounded(stats.matched(stats.caliper_candidates(B.features(s, d), ["chars", "lines", "stops"], "label", 0.3)), "distance")
+    return _rounded(stats.caliper_matches(B.features(s, d), ["chars", "lines", "stops"], "label", 0.3), "distance")
 
 
 def p13_centroid_distances(s, d):

@@ -1,11 +1,15 @@
 import math
 import random
 
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from tessella.functions import scalars as X
-from tessella.operators import calibrate, gate, metrics, order, stats
+from tessella.operators import calibrate, gate, matching, metrics, order, stats
+from tessella.plans import bindings, evaluation
 from tessella.sources import ingest
 from tessella.policy import MappingItem
 
@@ -77,6 +81,54 @@ def test_matching_keeps_the_caliper_and_uses_negatives_once(spark):
     assert all(m.distance <= 0.2 for m in got)
 
 
+def one_after_another(pairs):
+    used, out = set(), []
+    for p in sorted({x.positive for x in pairs if x.positive is not None}):
+        free = min(((x.distance, x.negative) for x in pairs if x.positive == p and x.negative is not None and x.negative not in used), default=None)
+        if free:
+            used.add(free[1])
+            out.append((p, free[1], free[0]))
+    return out
+
+
+@pytest.mark.parametrize(("caliper", "features"), [(0.0, "abc"), (0.25, "a"), (0.6, "abcd")])
+def test_matching_on_points_is_that_on_pairs(spark, caliper, features):
+    """Equal points, equal distances, keys of several rows and of both sides, and what is missing."""
+    r, features = random.Random(5), list(features)
+    rows = [(str(r.randrange(260)), r.choice([0, 1, 1, 1]), float(r.randrange(8)), float(r.randrange(8)), r.choice([0.0, 1.0]), r.choice([0.0, 1.0])) for _ in range(300)]
+    rows += [(None, 1, 1.0, 1.0, 0.0, 0.0), (None, 0, 2.0, 2.0, 0.0, 0.0), ("x", None, 3.0, 3.0, 0.0, 0.0), ("y", 1, None, 3.0, 0.0, 0.0), ("z", 2, 3.0, 3.0, 1.0, 0.0), ("far", 1, 40.0, 40.0, 0.0, 0.0), ("far", 1, 3.0, 3.0, 1.0, 0.0), ("far", 0, 41.0, 40.0, 0.0, 0.0)]
+    df = spark.createDataFrame(rows, "sample_id string, label int, a double, b double, c double, d double")
+    if caliper:
+        pairs = stats.caliper_candidates(df, features, "label", caliper).collect()
+    else:
+        z = stats.standardised(df, features).collect()
+        pairs = [Row(positive=p.sample_id, negative=n.sample_id, distance=0.0) for p in z for n in z if (p.label, n.label) == (1, 0) and all(p[f] == n[f] for f in features)]
+    got = sorted(tuple(x) for x in stats.caliper_matches(df, features, "label", caliper).collect())
+    assert got == one_after_another(pairs) and len(got) > 20
+
+
+@pytest.mark.parametrize("leaf", [1, 3, 512])
+def test_matching_in_leaves_and_batches_of_any_size(monkeypatch, leaf):
+    monkeypatch.setattr(matching, "LEAF", leaf)
+    r = random.Random(leaf)
+    rows = sorted((root, side, f"{r.randrange(150)}", float(r.randrange(9)), float(r.choice([0, 0, 1, r.random()]))) for root in "ab" for side in (0, 1, 1) for _ in range(150))
+    pairs = {root: [Row(positive=p[2], negative=n[2], distance=math.sqrt((p[3] - n[3]) * (p[3] - n[3]) + (p[4] - n[4]) * (p[4] - n[4]))) for p in rows for n in rows if p[:2] == (root, 1) and n[:2] == (root, 0)] for root in "ab"}
+    want = [m for root in "ab" for m in one_after_another([x for x in pairs[root] if x.distance <= 2])]
+    table = pa.table(dict(zip(["root", "side", "key", "x", "y"], map(list, zip(*rows, strict=True)), strict=True)))
+    got = [tuple(m.values()) for b in matching.Greedy(2).match(iter(table.to_batches(7))) for m in b.to_pylist()]
+    assert got == want and len(got) > 100
+    assert not list(matching.Greedy(2).match(iter(table.filter(pc.equal(table["side"], 1)).to_batches())))
+
+
+def test_the_matching_query_makes_no_pairs_and_moves_no_text(spark, monkeypatch):
+    monkeypatch.setattr(stats, "caliper_candidates", None)
+    assert evaluation.p10_caliper_matching(spark, "/root/testdata/sf0.01").count() == 33
+    plan = bindings.features(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan()
+    while plan.nodeName() != "Join":
+        plan = plan.children().apply(0)
+    assert "stops" in plan.left().output().mkString(",") and "text" not in plan.left().output().mkString(",")
+
+
 GATE = (gate.Check("a", (gate.Rule("x", "<", 1.0, "retake", "A"), gate.Rule("x", "<", 2.0, "warning", "A2"))),)
 
 
